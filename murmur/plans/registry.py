@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.plans import incremental
+from murmur.plans import basics, incremental
 
-MODULES = (incremental,)
+MODULES = (basics, incremental)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p7_found"](spark, folder)
+    return queries()["phrase_trends"](spark, folder)
