@@ -43,8 +43,10 @@ def _table() -> dict[int, str]:
 
 
 TABLE = _table()
-#: Characters that the table replaces; texts without any, most of them, are only decomposed.
-_ANY = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(TABLE)) + "]")
+#: Characters that the table may replace; texts without any, most of them, are only decomposed. Those beyond the basic
+#: plane are looked for by their range, as a class that names them one by one is searched slowly.
+_BASIC = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(TABLE) if c < 0x10000) + "]").search
+_BEYOND = re.compile("[\U00010000-\U0010FFFF]").search
 
 
 def skeleton(text: str | None) -> str | None:
@@ -52,7 +54,7 @@ def skeleton(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     text = unicodedata.normalize("NFD", text)
-    return unicodedata.normalize("NFD", text.translate(TABLE)) if _ANY.search(text) else text
+    return unicodedata.normalize("NFD", text.translate(TABLE)) if _BASIC(text) or _BEYOND(text) else text
 
 
 def shown(text: str | None) -> str | None:
