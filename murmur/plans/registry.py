@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.plans import basics, incremental
+from murmur.plans import basics, grammar, incremental, meaning, morphology, names
 
-MODULES = (basics, incremental)
+MODULES = (basics, morphology, grammar, names, meaning, incremental)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
