@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.plans import basics, grammar, incremental, meaning, morphology, names
+from murmur.plans import basics, grammar, incremental, meaning, morphology, names, streams
 
-MODULES = (basics, morphology, grammar, names, meaning, incremental)
+MODULES = (basics, morphology, grammar, names, meaning, streams, incremental)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
