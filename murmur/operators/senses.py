@@ -29,8 +29,11 @@ def contexts(df: DataFrame, tokens: Column, targets: Sequence[str], id_col: str
     """(id_col, at, word, target, context): the first hit of each target in a row, with the six words on either side."""
 
     def of(ts: Column) -> Column:
-        hits = F.filter(F.transform(ts, lambda t, i: F.struct(i.alias("at"), t.alias("word"), target_word(t, targets).alias("target"))), lambda h: h["target"].isNotNull())
-        first = F.filter(hits, lambda h, i: ~F.exists(F.slice(hits, 1, i), lambda g: g["target"] == h["target"]))
+        return let(F.filter(F.transform(ts, lambda t, i: F.struct(i.alias("at"), t.alias("word"), target_word(t, targets).alias("target"))), lambda h: h["target"].isNotNull()), lambda hits: chosen(ts, hits))
+
+    def chosen(ts: Column, hits: Column) -> Column:
+        kinds = F.array_distinct(F.transform(hits, lambda h: h["target"]))
+        first = F.transform(kinds, lambda t: F.get(F.filter(hits, lambda h: h["target"] == t), F.lit(0)))
         around = lambda h: F.concat(F.slice(ts, F.greatest(h["at"] - (REACH - 1), F.lit(1)), F.least(h["at"], F.lit(REACH))), F.slice(ts, h["at"] + 2, REACH))
         return F.transform(first, lambda h: F.struct(h["at"].cast("long").alias("at"), h["word"].alias("word"), h["target"].alias("target"), around(h).alias("context")))
 
