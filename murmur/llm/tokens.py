@@ -3,12 +3,14 @@
 Every partition keeps one DuckDB connection.  Words that the worker has not met yet become token-position rows; a
 recursive query joins neighbouring positions to the merge table and contracts, in every word, the leftmost pair of
 minimum rank until no pair is left; an ordered aggregation gives each word's ids.  Words that were met before come from
-a bounded dictionary, so the recursion runs over distinct words only, while every document is encoded whole.
+a bounded dictionary, so the recursion runs over distinct words only, while every document is encoded whole. Words of
+more than 512 bytes are merged by a heap to the same result.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 import re
 from collections.abc import Iterator
@@ -58,6 +60,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: Words of more bytes than this are rare and take one recursion step a merge, so they are merged by a heap instead.
+LONG_WORD = 512
+
+
+def merge_by_heap(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """The ids of one very long word: the same leftmost pair of least rank, again and again, in n log n steps."""
+    n = len(raw)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if not alive[i] or (j := after[i]) >= n or end[j] != stop:
+            continue
+        end[i], after[i], alive[j] = stop, after[j], False
+        if after[j] < n:
+            before[after[j]] = i
+            if (r := ranks.get(raw[i : end[after[j]]])) is not None:
+                heapq.heappush(heap, (r, i, end[after[j]]))
+        if (h := before[i]) >= 0 and (r := ranks.get(raw[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    return tuple(ranks[raw[i : end[i]]] for i in range(n) if alive[i])
+
+
 class _Spans(dict):
     """Spans and their ids; a span that is missing is noted and stands for nothing until it is learnt."""
 
@@ -103,6 +130,10 @@ class WordEncoder:
 
     def _contract(self, words: list[str], block: int = 20_000) -> None:
         """Adds the ids of the words to the dictionary."""
+        for w in words:
+            if len(raw := w.encode()) > LONG_WORD:
+                self.known[w] = merge_by_heap(raw, self.ranks)
+        words = [w for w in words if w not in self.known]
         for at in range(0, len(words), block):
             some = words[at : at + block]
             raw = [w.encode() for w in some]

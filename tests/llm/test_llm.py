@@ -123,7 +123,7 @@ def test_encoding_is_the_vocabularys_own():
 
     encoder = tokens.worker_encoder(tokens.VOCABULARY)
     own = tiktoken.Encoding("own", pat_str=tokens.WORD_PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
-    texts = ["", None, "a", "Hello  world", " lead", "tail ", "a\n\nb \n c\t d", "aaaa" * 200, "日本語 текст é é", "<|endoftext|> x", "x y   z", "👩🏽‍💻 ok", "it's we'll 12.5%", "\x00\x01", "nonono " * 3000]
+    texts = ["", None, "a", "Hello  world", " lead", "tail ", "a\n\nb \n c\t d", "aaaa" * 200, "日本語 текст é é", "<|endoftext|> x", "x y   z", "👩🏽‍💻 ok", "it's we'll 12.5%", "\x00\x01", "nonono " * 3000, "x" * 5000, "".join(random.Random(1).choice("abcdeno") for _ in range(4000)), "日本語" * 900, "".join(random.Random(2).choice("etaoin") for _ in range(400))]
     got = [[t for piece in ids for t in piece] for _, ids in encoder.encode_spans(texts)]
     assert got == [own.encode_ordinary(t or "") for t in texts]
 
