@@ -49,7 +49,7 @@ def headline_metrics(labelled: DataFrame, label_col: str = "label") -> DataFrame
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty sentences of the raw text."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def summary_candidates(df: DataFrame, score: Column, id_col: str = "row_id", text_col: str = "text", k: int = 9) -> DataFrame:
