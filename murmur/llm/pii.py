@@ -24,6 +24,8 @@ from murmur.llm.confusables import TABLE
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Longest span in characters.
 LONGEST = 120
+#: Letters of a family name's ending, and how many endings are kept.
+ENDING, MOST_ENDINGS = 4, 5_000
 
 # Words that speak for or against a kind of span.
 PHONE_CUES = set("call phone text whatsapp ring tel telephone telefon teléfono landline mobile cell sms dial reach anrufen rufen an ruf appelez llama sale selling".split())
@@ -37,12 +39,6 @@ PLACE_CUES = set("at to in live come by parcel send ship address house meet visi
 NAME_CUES = set("thanks to regards signed is from with by ask an what was that greetings danke name mr mrs ms dr".split())
 NUMBER_WORDS = set("zero oh one two three four five six seven eight nine double triple".split())
 PARTICLES = set("van von de del der den la di da du bin al".split())
-# Endings of family names in several European languages.
-FAMILY_ENDINGS = tuple(
-    "bergh berg borg moor inga inger ulin etti elli esku escu ayev ovsky ovski owski sky ski ardine lecott cott mere worth strand onde erwick wick wich hoffen hofen ackle "
-    "ueza ström stroem strom owby by sson sen son ović ovic vich enko chuk yan ian akis poulos ford field stein feld mann bauer meyer quist gren lund dahl stad ley ton".split()
-)
-_LONG_ENDINGS = tuple(e for e in FAMILY_ENDINGS if len(e) >= 4)
 STREETS = "street|st|avenue|ave|road|rd|lane|ln|crescent|mews|court|drive|close|square|terrace|boulevard|blvd|gardens|row|walk|way"
 _W = r"[^\W\d_][^\W\d_'’-]*(?:[-'’][^\W\d_]+)*"
 _CITY = rf"{_W}"
@@ -61,7 +57,8 @@ _EMAIL_RX = re.compile(rf"(?<![\w.+-])[\w+-][\w.+-]{{0,63}}{_AT}[\w-]+(?:[ ]?(?:
 _GROUP = r"(?:\(?\+?\(?\d+\)?)"
 _NUMBER_RX = re.compile(rf"(?<![\w.])(?:[a-z]{{1,4}}[ -]?(?=\d))?(?:{_GROUP})(?:[ .\-/]{{1,2}}{_GROUP})*(?:[ -]?[a-z]\b|[a-z]\d+)?(?:,? ?(?:ext|x|extension)\.? ?\d{{1,5}})?(?![\w])", re.I)
 _SPOKEN_RX = re.compile(rf"(?<!\w)(?:{'|'.join(NUMBER_WORDS)})(?:[ ,-]+(?:{'|'.join(NUMBER_WORDS)})){{6,}}(?!\w)", re.I)
-_WORD_AT = re.compile(_W)
+_LAST_RX = re.compile(r"([^\W_]+)[^\w.!?]*$")
+_FIRST_RX = re.compile(rf"(?<![\w.+/-])(?<!\w@){_W}(?= )", re.I)
 _PAIR_RX = re.compile(rf"(?<![\w.+/-])(?<!\w@)({_W}) ((?:[^\W\d_]\. ?|(?:{'|'.join(PARTICLES)}) ){{0,2}})({_W})(?![\w@+]| ?@| ?[\[({{]at\b)", re.I)
 _DIGITS = re.compile(r"\d+")
 _WORD_RX = re.compile(r"[^\W_]+")
@@ -134,8 +131,11 @@ def _word_shape(word: str) -> str:
     return "upper" if word.isupper() and len(word) > 1 else "title" if word[:1].isupper() else "lower"
 
 
-def candidates(text: str, given: frozenset[str], common: frozenset[str]) -> list[Span]:
-    """Spans that may be personal information, with their features; they overlap, and one stretch may have several kinds."""
+def candidates(text: str, given: frozenset[str], common: frozenset[str], endings: frozenset[str] = frozenset()) -> list[Span]:
+    """Spans that may be personal information, with their features; they overlap, and one stretch may have several kinds.
+
+    ``endings``: the last letters of words that mostly follow given names in the texts at hand, as from ``family_endings``.
+    """
     out: list[Span] = []
 
     def add(start: int, end: int, kind: str, features: Iterable[str]) -> None:
@@ -190,32 +190,36 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str]) -> list
                     add(m.start(), m.end(), "address", [name, f"tail {k}", f"tail {k} {'known' if known else 'new'} {'same' if len(shapes) < 2 else 'mixed'}", f"{name} {'known' if any(w.lower() in common for w in body) else 'new'} body", f"{name} body {'title' if all(w[:1].isupper() for w in body) else 'other'}", f"street {street}", *([f"tail {k} {'comma' if re.search(r', [^,]*$', m[0]) else 'no comma'}"] if k else []), *(["place cue"] if PLACE_CUES & set(before[-3:]) else []), *(["code cue before"] if CODE_CUES & set(before[-1:]) else [])])
     for m in _SPOKEN_RX.finditer(text):
         add(m.start(), m.end(), "phone", ("spoken",))
-    words = list(_WORD_AT.finditer(text))
-    starts: set[int] = set()
-    for k, w in enumerate(words):
-        word = w[0].lower()
-        if word in given:
-            starts.add(w.start())
-        elif word.endswith(_LONG_ENDINGS):
-            starts.update(before.start() for before in words[max(0, k - 3) : k])
-    for start in sorted(starts):
-        m = _PAIR_RX.match(text, start)
-        if not m:
+    # every pair of a listed given name, or of a word that no word list has, and the word after it
+    at = 0
+    while m := _FIRST_RX.search(text, at):
+        at = m.end()
+        first = m[0].lower()
+        listed = first in given
+        if not listed and (len(first) < 3 or first in common):
+            continue
+        m = _PAIR_RX.match(text, m.start())
+        if not m or len(m[3]) < 2 or first in NUMBER_WORDS:
             continue
-        first, family = m[1].lower(), m[3].lower()
-        last = family.rsplit("-", 1)[-1]
-        listed, ending = first in given, next((e for e in FAMILY_ENDINGS if last.endswith(e) and len(last) >= len(e) + 2), None)
-        if len(first) < 2 or len(family) < 4 or not (listed or ending) or first in NUMBER_WORDS or (not listed and (len(ending) < 4 or first in common or len(first) < 3)):
+        family = m[3].lower()
+        known = family in common
+        if known and not listed:
             continue
-        before, after = _around(text, m.start(), m.end())
-        long = ending is not None and len(ending) >= 4
-        features = ["listed" if listed else "not listed", f"ending {'long' if long else 'short' if ending else 'none'}", f"{'listed' if listed else 'new'} + {'long' if long else 'short' if ending else 'none'}"]
-        features += [f"case {_word_shape(m[1])} {_word_shape(m[3])}", "known word" if family in common else "new word"]
-        features += ["middle"] if m[2] else []
-        features += ["joined"] if "-" in family else []
-        features += ["name cue"] if NAME_CUES & set(before[-1:]) else []
-        features += ["alone"] if not before and not after else []
-        features += ["preceded by listed"] if before and before[-1] in given else []
+        lead, tail = _LAST_RX.search(text, max(0, m.start() - 24), m.start()), text[m.end() : m.end() + 20].split(None, 1)
+        before = lead[1].lower() if lead else ""
+        who, shapes = "listed" if listed else "new", f"{_word_shape(m[1])} {_word_shape(m[3])}"
+        features = [who, f"{who} {shapes}", f"{who} {'known' if known else 'new'} word", f"{who} {'known' if known else 'new'} {shapes}"]
+        features += [f"length {min(len(family), 10)}", *(f"{who} ends {family[-n:]}" for n in (1, 2, 3) if len(family) > n)]
+        features += [] if listed else [f"first ends {first[-2:]}"]
+        features += [f"{who} middle"] if m[2] else []
+        features += [f"{who} joined"] if "-" in family else []
+        features += [f"{who} {_word_shape(m[3])} name cue"] if before in NAME_CUES else []
+        features += [f"{who} alone"] if not before and not tail else [f"{who} first"] if not before else []
+        features += [f"{who} {shapes} before {_word_shape(tail[0])}"] if tail and tail[0][0].isalpha() else []
+        features += [f"{who} before number"] if tail and tail[0][0].isdigit() else []
+        features += ["preceded by listed"] if before in given else [f"{who} after new word"] if before and before not in common else []
+        features += ["family listed"] if family in given else []
+        features += [f"{who} {shapes} usual ending", f"{who} usual ending"] if family[-ENDING:] in endings else []
         add(m.start(), m.end(), "name", features)
     return out
 
@@ -269,41 +273,68 @@ def _expected(spans: list[Span], scores: list[float]) -> list[float]:
 
 _SLOT = re.compile(r"\{(\w+)\}")
 _POSITIVE = [
-    "Contact: {email}", "my mail is {email}, happy to help", "send me the file, {email}", "write to {email} if you need it", "{email}", "{email} (no junk please)", "For the draft ping me ({email}).", "Who is {email}?", "Please reply to {email}!",
-    "Call me on {phone} about the boat", "my number is {phone}", "Text {phone} and I will tell", "{phone} is my landline, ring after lunch", "WhatsApp {phone} for more", "The boat is still for sale ({phone}).", "reach me: {phone} after six", "Selling my boat, {phone}", "{phone}", "Tel. {phone}", "Rufen Sie mich an: {phone}", "mi teléfono {phone} gracias", "They have {phone} on the poster",
-    "I posted my {id_number} by mistake", "For the form: {id_number}.", "they need my {id_number} for the prize", "mine is {id_number}", "Is {id_number} enough to enter?", "the badge shows {id_number}", "Here is the {id_number} you wanted",
-    "I live at {address} and it shook", "Come by {address} and see", "Parcel for {address} never came.", "Send it to {address}.", "studio address: {address}", "We meet at {address} every week.", "Ship it here please: {address}", "You can pick it up, {address}.", "They filmed my house, {address}, at 3:15!", "{address} is where the club sits.",
-    "Big thanks to {name} for this", "Signed, {name}", "Regards, {name}", "My name is {name} and I like it", "The part by {name} was fine", "Is that {name} at 3:15?", "It was {name} who broke it", "{name} should see the middle part", "Please ask {name} about it", "{name} here, long time viewer.", "Went to school with {name}, same bag", "@{name} you were right", "Greetings from {name} and friends.", "Danke an {name} für den Tipp", "Not as neat as what {name} did", "{name}",
+    "Mail: {email}", "You may reach our office under {email} on weekdays.", "{email}", "Questions go to {email}, we answer all", "drop a line at {email}", "Is {email} still read by anybody?", "My address for invitations ({email}) has changed.", "Forward it to {email}!", "cc {email} as well", "Who writes as {email}?",
+    "Phone {phone} before noon", "{phone}", "You can ring {phone} any evening", "our number has changed to {phone}, sorry", "my number: {phone}", "Text me, {phone}, about the flat", "Telefon {phone}", "llama al {phone}", "Rufen Sie {phone} an", "whatsapp {phone} for a price", "Selling two bikes ({phone}).", "It says {phone} on the van", "{phone} is the landline, the cell is off", "{phone}, call any time", "{phone} is my number now", "Need a plumber? {phone}.", "dial {phone} if the door is shut", "mobile {phone}",
+    "My {id_number} leaked last year", "I lost my {id_number}.", "the clerk wrote down {id_number} twice", "Should I give them my {id_number}?", "his {id_number} is on the photo", "The form asks for {id_number}, why?", "{id_number}", "They printed {id_number} on the cover",
+    "Our office is at {address}", "{address}", "She moved to {address} in spring.", "Deliver to {address}, please.", "address: {address}", "The bakery is at {address}!", "Meet me at {address} on Friday.", "Fire at {address} again", "Your parcel went to {address}", "{address} has been empty for years.", "we live at {address}, come in",
+    "I spoke to {name} yesterday", "{name}", "Yours, {name}", "With love from {name}", "The novel by {name} sold out", "My neighbour {name} sings", "{name} was elected.", "{name} and I went fishing", "Is {name} still the coach?", "I am {name}, nice to meet you", "Nobody told {name} about dinner", "Thanks {name}, that helped", "Dear {name}, the river froze.", "@{name} no idea", "A letter for {name} arrived", "We all miss {name}!", "Dr {name} called back", "That photo of {name} made me cry", "Hi, {name} speaking", "Gruß an {name} aus Wien", "{name}: what a goal", "it was {name} on drums", "{name} asked for more salt", "I voted for {name}.",
 ]
 _NEGATIVE = [
-    "Model {d3}-{d3}-{d4} of the boat is fine.", "Invoice {d4}-{d3}-{d3} says {d3} views", "Order code {d3}-{d3}-{d2} never arrived", "Firmware {d1}.{d2}.{d3} fixed it", "{d3} {d3} {d3} counts at {d2}:{d2} on the metronome.", "Ticket number {d10} went through.", "Recorded on 20{d2}-0{d1}-1{d1}, room {d3}.", "Version {d3}-{d2}-{d4} of the firmware", "Serial KX-{d6} on my boat", "Serial {d3}-{d2}-{d4} on the lens", "Score was {d1}-{d2} after {d3} rounds", "ISO {d3}, shutter 1/{d3}, lens {d2}mm.", "Shot at {d3}x{d3}, {d2} fps.", "Call it {d1}, {d2} or {d3}, it is fine", "Room {d3}, {d1}th floor lamp, {d2} watts.", "At {d2}:{d2} you say {d2} but the slide shows {d2}.", "Part {d2} is about the end, right?", "The license key has {d2} digits.", "Tracking code {d10} is lost", "Build {d8} crashed", "Page {d6} of the manual",
-    "Tag me @{handle} on the forum.", "At {d2}:{d2}@normal speed it is fine.", "Look at {d2}:{d2} dot by dot, it is fine.", "See it at clips.example today", "{handle}", "{handle}{d4}", "viewer {d1}", "DJ {d4}",
-    "Drive the boat down lane {d1} of the track.", "Chapter {d1} Lane Detection was hard.", "Street Light Serenade at {d2}:{d2}, what a song.", "In {d2} minutes the road ends.", "I moved {d2} boxes down the road.",
-    "{given} would love the middle part.", "May {Given} be with us, the boat costs {d3}.", "Rose gold boat, sunny intro.", "Mark the parts first", "{Given} {Word} TV", "{Adjective} {Word}", "{Adjective} {Word} {d2}", "The {Word} Desk", "{Adjective} {Word} Daily", "{given}", "{Given} L.", "Danke an {Given} L.", "{given} said something else", "Will {Given} sing tomorrow?", "Such a {adjective} way to open the {word}", "Best {word} upload of the month", "{Given} Channel is live", "Captain {Word}", "nothing else matters here", "thanks to everyone helping tomorrow morning", "more of the recording, it is worth it",
+    "Article {d3}-{d3}-{d4} is sold out.", "Our invoice {d4}-{d3}-{d3} was paid", "Order {d3}-{d3}-{d2} came broken", "Update {d1}.{d2}.{d3} is out", "Patients {d3} {d3} {d3} on three days.", "Ticket {d10} is closed.", "Born 19{d2}-0{d1}-1{d1}, house {d3}.", "Version {d3}-{d2}-{d4} of the app", "Ticket number {d10} won nothing", "Serial AB-{d6} of the mower", "Serial {d3}-{d2}-{d4} is on the back", "We lost {d1}-{d2} in {d3} minutes", "Film at ISO {d3}, 1/{d3} s, {d2}mm.", "A screen of {d3}x{d3} dots, {d2} fps.", "Take {d1}, {d2} or {d3} of them", "Room {d3}, floor {d1}, {d2} degrees.", "At {d2}:{d2} the train had {d2} seats.", "Page {d2} has a misprint", "The code has {d2} digits.", "Tracking {d10} says lost", "Build {d8} fails", "Page {d6} is blank", "Item {d8} was returned", "Population {d3} {d3} {d3} by now",
+    "Find me as @{handle} there.", "Dinner at {d2}:{d2}@home today.", "Draw it dot by dot at {d2}:{d2}.", "Read it at shops.example now", "{handle}", "{handle}{d4}", "guest {d1}", "MC {d4}", "Stand in lane {d1} of the pool.", "Chapter {d1} Road Safety bored me.", "Row {d1} Street Food at {d2}:{d2} was full.", "{d2} minutes down the road he stopped.", "They carried {d2} chairs down the street.",
+    "{given} {ordinary} it again.", "{Given} {ordinary} the whole {word}", "I hope {given} {ordinary} soon", "May {Given} {ordinary} well.", "Will {Given} {ordinary} tomorrow?", "may {given} {ordinary} you", "{Given} {ordinary}", "{given} {ordinary} {ordinary}", "Then {Given} {ordinary} and left", "{Given} {ordinary}, I {ordinary}", "ask {given} {ordinary}", "the {ordinary} {ordinary} of {given} {ordinary}", "{ordinary} {ordinary} {ordinary} {ordinary}", "{Ordinary} {ordinary} the {ordinary}, {ordinary} {ordinary}", "Some {ordinary} {ordinary} {ordinary} it", "{ordinary} {ordinary} by {ordinary} {ordinary}",
+    "{Adjective} {Word}", "{Adjective} {Word} {d2}", "{Adjective} {Ordinary}", "{Ordinary} {Word}", "{Ordinary} {Ordinary} {Word}", "{Given} {Word} TV", "{Given} {Ordinary} Channel", "The {Word} Club", "The {Ordinary} {Word} Show", "{Adjective} {Word} Weekly", "{given}", "{Given}", "{Given} P.", "Liebe {Given} P.", "{Given} {d2}", "Captain {Word}", "Professor {Word}", "{Made} {Word}", "{Made} {Made} is a new app", "I use {Made} {Word} now", "my {made} {word} broke", "the {made} {ordinary} {word}", "we moved to {Made} {Word} in May", "this {adjective} {word}", "nothing here {ordinary}", "many thanks to everybody {ordinary} tonight", "It is {ordinary} {word}, {ordinary} {adjective}", "{Made} {made} {made}, {made} {ordinary}.", "{made} {made} {made} {made} {made}.", "{ordinary} {made} {made} {ordinary}", "{Made} {made}", "{Made} {Made}", "{ordinary} {ordinary} than {made}", "{Adjective} {Made}", "{Ordinary} {made}", "by {adjective} {word}", "He went from {Made} {Word} to {Made}", "Does {Made} {Ordinary} run on it?", "She sells {Made} {Word}", "The {Ordinary} {Word} opens in {Made} {Ordinary}", "{Made} {Word}", "Part {d1} {Ordinary} {Made} is long", "with {made} {ordinary}",
+    "Der Zug nach Hamburg fährt heute leider nicht mehr, sagen Sie das bitte den Kindern.", "Können wir das Bild morgen früh noch einmal ansehen?", "Über den Wolken lacht meine alte Nachbarin, danke schön.", "Je ne sais pas si la maison de ma tante est encore ouverte ce soir.", "Merci beaucoup, quelle belle journée pour aller au marché.", "No creo que mañana podamos ir después de comer, la tienda está cerrada.", "Qué bonito día, muchas gracias por todo amigos.", "Non so se domani il treno arriva prima di mezzogiorno, grazie mille.", "Obrigado pela ajuda, amanhã vamos todos para a praia comer peixe.", "Dziękuję bardzo, jutro rano pójdziemy razem nad rzekę.", "Спасибо большое, завтра утром мы пойдём вместе на реку.", "Tack så mycket, i morgon går vi tillsammans till sjön.", "Dank je wel, morgen gaan we samen naar het strand.", "Çok teşekkürler, yarın sabah birlikte denize gideriz.", "thanks {given}, the {word} works", "{Given}, {Given} and {Given} came",
 ]
-_CONTEXT = ["", "", "", "This is fine work.", "The middle part starts at 3:15.", "I tried it last night.", "Never thought I could do it.", "Waiting for the end.", "Can you show more?"]
-_GIVEN = "ana ben clara david erik fiona georg helga ivan julia karl lena marta nina oscar paul rita simon tessa ugo viola walter xenia yann zora alma boris".split()
-_ROOTS = "hald krel strav dun talv pell wex brim corr fenn gral hask ild jarr lomb marv nott orr ost quen rusk skel thorn vant zim alder birch colt drake elm finch gold hart knox lind".split()
+_CONTEXT = ["", "", "", "So it goes.", "It rained all day.", "I never saw that before.", "Who would have known?", "Our dog slept through it.", "Can we have another?"]
+#: Frequent given names of many languages, beside the list that is given; those that are also common words train only.
+GIVEN = frozenset(
+    "james john robert michael william david richard joseph thomas charles daniel matthew anthony steven andrew kevin brian george edward ronald timothy jason jeffrey ryan jacob nicholas eric jonathan stephen larry justin scott brandon benjamin samuel gregory alexander patrick "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy sandra ashley emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen sharon cynthia kathleen amy angela anna ruth brenda pamela nicole katherine samantha christine emma catherine virginia rachel janet maria heather diane olivia julie victoria kelly lauren "
+    "hans peter wolfgang klaus jürgen dieter uwe stefan andreas jens lukas jonas felix maximilian ursula monika petra sabine renate heike katrin anja lena hannah pierre jean michel philippe nicolas julien camille chloé manon léa élodie juan carlos josé luis javier miguel antonio alejandro carmen lucía marta elena isabel giuseppe giovanni marco luca andrea francesca giulia chiara "
+    "joão pedro tiago rafael beatriz inês piotr tomasz krzysztof marek agnieszka magdalena katarzyna jan tomáš jiří eva jana ivan dmitri sergei nikolai olga tatiana natalia svetlana lars erik anders johan karl astrid freja sofie mikko juha aino mehmet mustafa ahmet ayşe fatma ali omar hassan mohammed ibrahim layla aisha fatima "
+    "raj rahul amit sanjay anita sunita deepa wei ming jing hiroshi takashi yuki kenta akiko haruto minho jiwoo nguyen kwame kofi ama chidi ngozi amina thabo sipho"
+    .split()
+)
+_GIVEN = [*sorted(GIVEN), *"ana ben clara fiona georg helga julia nina oscar paul rita simon tessa ugo viola walter xenia yann zora alma bruce chen elif farah goran hiro ines jamal naomi sofia tariq uma victor wanda grace frank will joy dawn jack hope mark may rose bill".split()]
+#: Family names of many languages; half of the names in training sentences are instead put together from syllables.
+_FAMILIES = (
+    "smith jones taylor brown evans roberts walker wright hughes green hall clarke turner hill moore cooper ward morris king baker harrison allen scott phillips parker bennett murphy kelly byrne doyle mcdonald campbell reid fraser "
+    "müller schmidt weber wagner becker hoffmann koch richter klein wolf schröder neumann braun zimmermann krüger hartmann lange werner krause lehmann huber maier fuchs de-vries jansen bakker visser smit meijer mulder bos vos peters dekker "
+    "martin bernard dubois thomas robert petit durand leroy moreau laurent lefebvre garnier faure rousseau blanc garcía rodríguez lopez martinez sanchez perez gomez fernandez ruiz diaz moreno muñoz romero navarro torres ramos gil vega silva santos oliveira pereira costa rocha almeida nunes "
+    "rossi russo ferrari bianchi romano gallo conti greco bruno marino rizzo lombardi nowak kowalczyk wójcik kamiński lewandowski zieliński mazur krawczyk novak svoboda dvořák černý horvat kovačević babić nagy kovács tóth szabó varga popescu ionescu dumitru petrov dimitrov ivanov smirnov kuznetsov popov sokolov melnyk shevchenko bondarenko "
+    "andersson johansson karlsson nilsson lindberg hansen olsen larsen berg haugen jensen nielsen korhonen virtanen mäkinen kazlauskas ozols tamm papadakis nikolaidis georgiou yılmaz kaya demir çelik şahin arslan haddad khoury mansour saleh rahman hussain ahmed malik qureshi karimi hosseini cohen levy mizrahi "
+    "singh sharma gupta verma mehta reddy iyer nair das banerjee mukherjee patil perera silwal thapa wang li zhang liu huang zhao wu zhou lin tan kim park choi jung kang sato suzuki watanabe ito yamamoto nakamura kobayashi tran le pham hoang bui santoso wijaya reyes bautista mensah boateng owusu adeyemi okoye eze balogun mwangi otieno kamau dlamini nkosi ndlovu diallo traoré keita bekele tesfaye"
+).split()
+_ONSETS = "b c d f g h j k l m n p r s t v w z br ch cr dr fl gr kr pl sh sk st th tr zh".split()
+_NUCLEI = "a a e e i o u ai ea ie ou y".split()
+_CODAS = ["", "", "", "", "l", "m", "n", "r", "s", "t", "k", "d", "z", "nd", "rt", "ck", "x"]
+_USERS = "mail hello office desk shop sky blue fox river stone maple north penny rocket juniper".split()
 _PLACES = "Fairview Northgate Elmbrook Larkspur Hawthorn Kestrel Marlow Quillon Rowan Sandling".split()
 _TOWNS = ["Newbay", "Port Ellis", "Westmere", "Oldbrook", "Saint-Meran", "Castle Dene", "Lunaville"]
-_WORDS = "harbor kettle lantern comet meadow thread tripod pixel otter fern garden oven lamp summer sketch".split()
-_ADJECTIVES = "salty quiet wild lucky copper frosted paper hollow electric plain velvet smart lovely".split()
+_WORDS = "bicycle window candle planet valley needle camera dragon badger clover orchard engine pillow winter poem guitar coffee island wagon mirror".split()
+_ADJECTIVES = "bitter silent brave golden silver dusty wooden empty modern simple purple clever gentle angry crazy rapid".split()
 
 
 def _digits(rng: random.Random, n: int, first: str = "0123456789") -> str:
     return rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
 
 
+def _made_up(rng: random.Random) -> str:
+    """A word of one to four syllables in no list."""
+    return "".join(rng.choice(_ONSETS) + rng.choice(_NUCLEI) + rng.choice(_CODAS) for _ in range(rng.choice([1, 2, 2, 2, 3, 3, 4])))
+
+
 def _fill(kind: str, rng: random.Random) -> str:
     d = functools.partial(_digits, rng)
-    family = lambda: rng.choice(_ROOTS).title() + rng.choice([e for e in FAMILY_ENDINGS if len(e) > 2 or rng.random() < 0.3])
+    family = lambda: rng.choice(_FAMILIES).title() if rng.random() < 0.5 else _made_up(rng).title()
     place, town = rng.choice(_PLACES), rng.choice(_TOWNS)
     if kind == "name":
         given = rng.choice(_GIVEN).title()
         middle = rng.choice(["", "", "", f" {rng.choice('ABCDEKRST')}.", " van"])
         return f"{given}{middle} {family()}" + (f"-{family()}" if rng.random() < 0.1 else "")
     if kind == "email":
-        user = rng.choice(_GIVEN) + rng.choice([".", "_", "-", ""]) + rng.choice(_ROOTS) + rng.choice(["", d(2), "+tube"])
+        user = rng.choice(_GIVEN) + rng.choice([".", "_", "-", ""]) + rng.choice(_USERS) + rng.choice(["", d(2), "+tube"])
         host = rng.choice(["mail.example", "example.com", "post.example.org", "inbox.test"])
         at = rng.choice(["@", "@", "@", " @ ", "(at)", " (at) ", " [at] ", " at "])
         return user + at + (host.replace(".", " dot ") if at == " at " else host.replace(".", rng.choice([".", " [dot] "])) if "[" in at else host)
@@ -329,7 +360,7 @@ def _identity(rng: random.Random) -> tuple[str, str]:
     return rng.choice(forms)
 
 
-def training_sentences(count: int = 2_400, seed: int = 11) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+def training_sentences(count: int = 6_000, seed: int = 11) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
     """Composed sentences with the spans in them."""
     rng = random.Random(seed)
     for k in range(count):
@@ -354,7 +385,7 @@ def training_sentences(count: int = 2_400, seed: int = 11) -> Iterator[tuple[str
             elif slot[0] == "d" and slot[1:].isdigit():
                 text += _digits(rng, int(slot[1:]))
             else:
-                word = {"given": rng.choice(_GIVEN), "handle": rng.choice(_GIVEN) + rng.choice(["_", "", "."]) + rng.choice(_WORDS), "word": rng.choice(_WORDS), "adjective": rng.choice(_ADJECTIVES)}[slot.lower()]
+                word = {"given": rng.choice(_GIVEN), "handle": rng.choice(_GIVEN) + rng.choice(["_", "", "."]) + rng.choice(_WORDS), "word": rng.choice(_WORDS), "adjective": rng.choice(_ADJECTIVES), "ordinary": rng.choice(_ORDINARY), "made": _made_up(rng)}[slot.lower()]
                 text += word.title() if slot[0].isupper() else word
         text += template[at:]
         if len(template) > 12 and rng.random() < 0.4 and (end := rng.choice(_CONTEXT)):
@@ -368,11 +399,14 @@ def fit(epochs: int = 6, rate: float = 0.5, l2: float = 1e-4, seed: int = 3) ->
     """Weights by stochastic gradient steps of the conditional likelihood, with a rate for each coordinate."""
     rng = random.Random(seed)
     given = frozenset(_GIVEN)
-    # some given names are left off the list, as they will be in the data
+    # some given names and ordinary words are left off the lists, as they will be in the data
     lists = [frozenset(g for g in given if rng.random() < 0.8) for _ in range(20)]
+    commons = [frozenset(w for w in sorted(COMMON) if rng.random() < 0.7) for _ in range(20)]
     data = []
     for text, gold in training_sentences():
-        spans = candidates(text, rng.choice(lists), COMMON)
+        # which endings are usual is known from other texts: for most family names, and for few other words
+        words = [text[a:b].split()[-1] for a, b, kind in gold if kind == "name" and rng.random() < 0.6] + [w for w in _WORD_RX.findall(text) if rng.random() < 0.01]
+        spans = candidates(text, rng.choice(lists), rng.choice(commons), frozenset(w[-ENDING:].lower() for w in words))
         found = {(s.start, s.end, s.kind) for s in spans}
         data.append((spans, {g for g in gold if g in found}))
     weights: dict[str, float] = {}
@@ -396,25 +430,31 @@ def fit(epochs: int = 6, rate: float = 0.5, l2: float = 1e-4, seed: int = 3) ->
     return weights
 
 
-# Frequent words that are neither given nor family names.
-COMMON = frozenset(
+# Frequent words that are hardly ever family names.
+_ORDINARY = (
+    "ability able accept across act action actually add afraid age ago agree air almost alone along already although always among amount angry animal answer appear apply area argue arm army arrive art asleep attack aunt autumn away baby bad bag ball bank bar base basic bath bear beat beautiful because become bed began begin behind believe below beside better between beyond bird birth bit bite bless blood blow board boat body boil bone book born borrow bottle bottom bought bowl box boy brain branch bread break breakfast breathe bridge bright bring broke brother brought brush build burn bus busy butter buy cake calls camp car card care careful carry case catch caught cause cell center certain chair chance change cheap check cheese child children choice choose church circle city class clean clearly climb clock close clothes cloud cold collect color comes coming company compare complete computer control cool copy corner correct cost count country couple course cover crazy cried cross crowd cry cup current cut daily damage dance danger dark data date daughter dead deal dear death decide deep degree depend describe design desk detail died different difficult dinner direction dirty discover discuss doctor dog dollar done door doubt down dream dress drink drive drop dry during dust duty ear earth easily easy eat edge edit effect effort egg either else empty end energy engine enjoy enough enter entire equal escape especially even event ever exactly example excellent except excited exist expect expensive experience explain eye face fact fail fair fall false familiar famous far farm fast fat father fear feed feeling feet felt few field fight figure fill film final find fine finger finish fire fish fit five fix flat flew floor flower fly follow food foot force foreign forest forget form forward found free fresh friend front fruit full fun funny future game garden gave general gentle girl glad glass goal goes gone got grass gray great group grow guess guide gun hair half happen happy hard hardly hat hate head health hear heard heart heat heavy held hello help helped hide high himself history hit hold hole holiday home honest hope horse hospital hot hotel hour however huge human hundred hungry hurry hurt husband ice idea ill imagine important improve include indeed inside instead interest iron island itself job join joke jump keep kept key kick kill kind kitchen knee knew knife knock lady lake land language large last late laugh law lay lazy lead leaf learn least leave led left leg less let letter level lie life lift likes line lion list listen little lived lock long looked looking looks lose loss lost lot loud low luck lunch machine main manage map market matter maybe meal mean measure meat medicine meet member mentioned met middle might mile milk mind mine miss mistake mix modern moment money month moon mother mountain mouth move moved movie moving music myself near nearly neck need needs neighbor nerve news newspaper noise none north nose note notice number ocean off offer office often oil okay older once open opinion order ordinary outside oven owner page paid pain paint pair paper parent park party pass past path pay peace pen pencil people perfect perhaps phone photo pick picture piece place plain plan plane plant plate played player playing plays pleasant pocket point police polite poor popular position possible post pot pound power practice prepare present press pretty price print prize probably problem produce program promise proper protect proud prove public pull push put quality queen question quick quickly quiet quite race radio rain raise ran reach read ready real reason receive record red refuse remember remove rent repair repeat rest result return rich ride right ring rise river road rock roof room round rule run sad safe sail sale salt sand sat save saw says school science sea search season seat second secret seem seems seen sell sense sent separate serious serve set several shade shake shape share sharp sheet ship shirt shoe shop short shoulder shout shut sick side sign silver similar simple since sing single sister sit six size skill skin sky sleep slept slide slow slowly smell smile smoke smooth snow soap society soft sold soldier solve sometimes son song soon sorry sort soul soup south space speak special speed spell spend spoke spoon sport spot spread spring square stage stair stand star start started stay steal steam step stick still stole stone stood stop store storm story straight strange street strong student study stupid sudden suddenly suffer sugar suit sun sunny support suppose sure surface surprise sweet swim system table talk talked tall taste taught tea teach team tear teeth telling tells test thick thin thing thinks third thirty thousand throat through throw ticket tie tight till tired together told tonight took tool top total touch toward town toy trade train travel tree tried trip trouble true trust truth try turn turned twice type ugly uncle understand unit until upon use used useful usual usually valley value various view village visit voice wait wake walk walked wall want wanted wants war warm wash waste watch watched water wave weak wear weather wedding week weight welcome went west wet wheel whether while white whole wide wife wild win wind window wine wing winter wire wise wish within without woke woman wonder wood word world worry worse worst wrong wrote yard yell yellow yesterday yet young"
+).split()
+COMMON = frozenset(_ORDINARY) | frozenset(
     "the a an and or but not no yes of in on at to from by for with about after before over under this that these those it its is are was were be been being has have had do does did can could will would should may might must "
     "i you he she we they me him her us them my your his our their who what which when where why how more most much many some any all both each every other another same such only own too very just now then here there "
     "never always still again please thanks thank love best great good nice big small old new first last next one two three four five six seven eight nine ten part parts video channel upload second minutes week month year day night morning "
     "work works worked working sound audio light intro ending section chapter show see look make made take get got give go come like feel try tried think thought know say said call send write is another finally such learned uploaded waiting "
     "something nothing anything everyone someone nobody person season lesson version mention question edition recording tomorrow morning evening setting worth tackle lovely early only family reply really button cotton carton person reason poison "
-    "der die das und ein eine für mit von den dem ist nicht auch noch mein meine le la les un une des et est pas pour que qui el los las una y es no por para con del mi muy tube tv daily club desk film".split()
+    "der die das und ein eine für mit von den dem ist nicht auch noch mein meine le la les un une des et est pas pour que qui el los las una y es no por para con del mi muy tube tv daily club desk film "
+    "sie den über ich er es wir ihr du bei aus nach zum zur im am vom dass wenn aber oder wie was wer schon nur sehr mehr kann können muss müssen soll hat haben sein sind war wird werden einen einem einer eines kein keine diese dieser dieses endlich schön schöner schöne schönes gut hier jetzt immer "
+    "je tu il elle nous vous ils mon ma mes ton sur dans avec plus très mais ou où du au aux ne sont été ce cette c'est j'ai fait quel quelle me te se lo su pero más después antes como cuando este esta todo ya sin sobre gli che non di sono del della molto o os as um uma em não do da mais muito het een en niet voor op zijn".split()
 )
 
 
 class Finder:
-    def __init__(self, given: Iterable[str], weights: dict[str, float]):
-        self.given, self.weights = frozenset(w.lower() for w in given if w), weights
+    def __init__(self, given: Iterable[str], weights: dict[str, float], endings: Iterable[str] = ()):
+        self.endings = frozenset(endings)
+        self.given, self.weights = GIVEN.union(w.lower() for w in given if w), weights
         self.short = functools.lru_cache(maxsize=50_000)(self._find)
 
     def _find(self, text: str) -> tuple[tuple[int, int, str], ...]:
         plain, places = fold(text)
-        spans = decode(candidates(plain, self.given, COMMON), self.weights)
+        spans = decode(candidates(plain, self.given, COMMON, self.endings), self.weights)
         if places is None:
             return tuple((s.start, s.end, s.kind) for s in spans)
         return tuple((places[s.start], places[s.end - 1] + 1, s.kind) for s in spans)
@@ -437,6 +477,35 @@ class Finder:
         return "".join([*out, text[at:]]), sorted({k for _, _, k in spans})
 
 
+def family_endings(df: DataFrame, names: list[str], columns: tuple[str, ...]) -> list[str]:
+    """Endings of words that follow a given name at least five times, and in at least two of five of their occurrences.
+
+    Counted over all rows; only the most frequent ``MOST_ENDINGS`` are collected.
+    """
+    held = df.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = GIVEN.union(w.lower() for w in held.value if w)
+        for batch in batches:
+            after: dict[str, int] = {}
+            whole: dict[str, int] = {}
+            for column in batch.columns:
+                for text in column.to_pylist():
+                    previous = ""
+                    for word in _WORD_RX.findall(text.lower()) if text else ():
+                        if len(word) > ENDING and word.isalpha() and word not in COMMON:
+                            end = word[-ENDING:]
+                            whole[end] = whole.get(end, 0) + 1
+                            if previous in given:
+                                after[end] = after.get(end, 0) + 1
+                        previous = word
+            yield pa.RecordBatch.from_pydict({"ending": pa.array(list(whole), pa.string()), "after": pa.array([after.get(e, 0) for e in whole], pa.int64()), "whole": pa.array(list(whole.values()), pa.int64())})
+
+    counts = df.select(*(F.col(c).cast("string") for c in columns)).mapInArrow(run, "ending string, after long, whole long")
+    usual = counts.groupBy("ending").agg(F.sum("after").alias("after"), F.sum("whole").alias("whole")).where((F.col("after") >= 5) & (F.col("after") >= 0.4 * F.col("whole")))
+    return [r[0] for r in usual.orderBy(F.desc("after"), "ending").limit(MOST_ENDINGS).collect()]
+
+
 def redact_columns(df: DataFrame, given_names: DataFrame | None, columns: tuple[str, ...] = ("text", "author"), most_names: int = 200_000) -> DataFrame:
     """df with each column redacted and, per column, ``<column>_kinds``: the sorted kinds found in it.
 
@@ -450,7 +519,7 @@ def redact_columns(df: DataFrame, given_names: DataFrame | None, columns: tuple[
         raise ValueError(f"more than {most_names} given names")
     if clash := {f"{c}_kinds" for c in columns} & set(df.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
-    finder = spark.sparkContext.broadcast((names, fit()))
+    finder = spark.sparkContext.broadcast((names, fit(), family_endings(df, names, columns)))
     kinds = T.ArrayType(T.StringType(), False)
     schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name in columns else f for f in df.schema.fields), *(T.StructField(f"{c}_kinds", kinds) for c in columns)])
 

@@ -98,6 +98,30 @@ def test_held_out_sentences():
     assert right / total > 0.95
 
 
+#: Family names and sentences that the training has not; no listed ending was of help here.
+FAMILIES = "zhou-ferris castellano obrecht tanaka vukasin etxeberria abdi kapoor ramaswamy chukwu wickremesinghe nakashima delacroix quiroga bassett pomeroy whitlock trujillo abebe sissoko haugland raimondi zubiri ogunbanjo ferreyra lindqvister okonkwo mitsotakis sarkozi blackadder".split()
+SENTENCES = ["The prize went to {} this year", "{} plays the cello", "Yesterday {} told us why", "Wrote it together with {}.", "{}", "Kind regards, {}"]
+PLAIN = ["the ann effect", "Ann walked home", "ann, are you there", "Mark every second page", "May flowers grow", "then Ann smiled at us", "A pair of ruby slippers", "Golden Turnip", "rose petals everywhere", "I told ann yesterday", "Old barns collapse in heavy snow", "Wir haben gestern lange gewartet"]
+
+
+def test_families_outside_the_training():
+    finder = pii.Finder(["ann", "mark", "may", "rose"], pii.fit())
+    assert not set(FAMILIES) & set(pii._FAMILIES)
+    names = [s.format(f"Ann {f.title()}") for f in FAMILIES for s in SENTENCES]
+    found = sum({k for *_, k in finder.find(t)} == {"name"} for t in names)
+    lower = sum({k for *_, k in finder.find(t.lower())} == {"name"} for t in names)
+    wrong = [t for t in PLAIN if finder.find(t)]
+    print(f"found {found}, in lower case {lower}, of {len(names)}; wrong {wrong}")
+    assert found >= 0.9 * len(names) and lower >= 0.6 * len(names) and len(wrong) <= 2
+
+
+def test_family_endings_come_from_the_texts(spark):
+    texts = ["Thanks Ann Corvitzel", "ann dorvitzel said so", "Ann Pelvitzel", "by Ann Mervitzel", "Ann Zovitzel here", "Zelda Corvitzel", "my blue teapot", "teapot", "a teapot"]
+    frame = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "row_id long, text string, author string")
+    assert pii.family_endings(frame, ["ann"], ("text", "author")) == ["tzel"]
+    assert ("name" in {r["kind"] for r in pii.personal_information(frame, spark.createDataFrame([("ann",)], "word string")).where("row_id = 5").collect()})
+
+
 def test_term_counts_like_python(spark):
     texts = ["b a b", "", None, "Ünder ünder 12 a_b", "a " * 3000]
     frame = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
