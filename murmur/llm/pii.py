@@ -24,6 +24,8 @@ from murmur.llm.confusables import TABLE
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Longest span in characters.
 LONGEST = 120
+#: Parts between blanks of the longest number.
+MOST_PARTS = 11
 #: Letters of a family name's ending, and how many endings are kept.
 ENDING, MOST_ENDINGS = 4, 5_000
 
@@ -153,10 +155,10 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str], endings
         for m in _NUMBER_RX.finditer(text):
             if sum(c.isdigit() for c in m[0]) < 5:
                 continue
-            # the whole run and its parts between blanks
+            # the whole run and up to MOST_PARTS of its parts between blanks, from each part on
             edges = [m.start(), *(m.start() + b.end() for b in re.finditer(r" ", m[0])), m.end() + 1]
-            runs = [(edges[i], edges[j] - 1) for i in range(len(edges) - 1) for j in range(i + 1, len(edges))]
-            for a, b in runs if len(edges) <= 12 else [(m.start(), m.end())]:
+            runs = [(edges[i], edges[j] - 1) for i in range(len(edges) - 1) for j in range(i + 1, min(len(edges), i + 1 + MOST_PARTS)) if edges[j] - 1 - edges[i] <= LONGEST]
+            for a, b in runs if len(edges) <= MOST_PARTS + 1 else [*runs, (m.start(), m.end())]:
                 piece = text[a:b]
                 while piece and piece[-1] in " ,.-/(":
                     piece, b = piece[:-1], b - 1

@@ -98,7 +98,7 @@ def test_held_out_sentences():
     assert right / total > 0.95
 
 
-#: Family names and sentences that the training has not; no listed ending was of help here.
+#: Family names and sentences that the training has not; 174 of 180 were missed while endings were listed.
 FAMILIES = "zhou-ferris castellano obrecht tanaka vukasin etxeberria abdi kapoor ramaswamy chukwu wickremesinghe nakashima delacroix quiroga bassett pomeroy whitlock trujillo abebe sissoko haugland raimondi zubiri ogunbanjo ferreyra lindqvister okonkwo mitsotakis sarkozi blackadder".split()
 SENTENCES = ["The prize went to {} this year", "{} plays the cello", "Yesterday {} told us why", "Wrote it together with {}.", "{}", "Kind regards, {}"]
 PLAIN = ["the ann effect", "Ann walked home", "ann, are you there", "Mark every second page", "May flowers grow", "then Ann smiled at us", "A pair of ruby slippers", "Golden Turnip", "rose petals everywhere", "I told ann yesterday", "Old barns collapse in heavy snow", "Wir haben gestern lange gewartet"]
@@ -115,6 +115,16 @@ def test_families_outside_the_training():
     assert found >= 0.9 * len(names) and lower >= 0.6 * len(names) and len(wrong) <= 2
 
 
+def test_numbers_in_long_runs():
+    finder = pii.Finder(["ann"], pii.fit())
+    run = " ".join(map(str, range(1, 40)))
+    for text in (f"{run} +1 (525) 555-0139", f"+1 (525) 555-0139 {run}", f"{run} +1 (525) 555-0139 {run}"):
+        spans = [(s.start, s.end) for s in pii.candidates(text, frozenset(), pii.COMMON) if s.kind == "phone"]
+        at = text.index("+1 (525)")
+        assert (at, at + 17) in spans and len(spans) < 12 * len(text.split())
+        assert any(a < at + 17 and b > at for a, b, k in finder.find(text) if k == "phone")
+
+
 def test_family_endings_come_from_the_texts(spark):
     texts = ["Thanks Ann Corvitzel", "ann dorvitzel said so", "Ann Pelvitzel", "by Ann Mervitzel", "Ann Zovitzel here", "Zelda Corvitzel", "my blue teapot", "teapot", "a teapot"]
     frame = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "row_id long, text string, author string")
