@@ -110,8 +110,6 @@ def _greedy(frame: pd.DataFrame, threshold: float) -> list[tuple[list[int], floa
             if s > score or (best < 0 and s >= threshold):
                 best, score = g, s
         if best < 0:
-            if not subjects:
-                continue
             groups.append({"sum": {t: 2 * x for t, x in v.items()}, "square": 4.0, "members": [i]})
             best = len(groups) - 1
         else:

@@ -52,7 +52,8 @@ def grouped(stream: DataFrame, features: Column, by: str, id_col: str, threshold
     """(by, id_col, group): each row's greedy group within its value of ``by``, as rows arrive.
 
     A stream knows no document frequencies, so vectors are 1 + ln(tf), normalised. The state of a value is the running sum
-    and count of each of its groups. Rows of one batch are taken by id.
+    and count of each of its groups. Rows of one batch are taken by id. Rows of opinion words only form a group for each
+    order of these words.
     """
     schema = f"{by} {stream.schema[by].dataType.simpleString()}, {id_col} {stream.schema[id_col].dataType.simpleString()}, group long"
 
@@ -63,10 +64,13 @@ def grouped(stream: DataFrame, features: Column, by: str, id_col: str, threshold
         for row_id, words in zip(rows[id_col], rows["features"], strict=True):
             v = {t: 1 + math.log(c) for t, c in Counter(words).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
-            subjects = [t for t in v if t not in OPINION]
-            if not subjects:
+            if not v:
                 continue
+            subjects = [t for t in v if t not in OPINION]
             best, score = -1, threshold
+            if not subjects:
+                # as groups of equal label are one in the end, rows of the same opinions share one
+                best = next((g for g, total in enumerate(groups) if list(total) == list(v)), -1)
             for g, total in enumerate(groups):
                 if any(t in total for t in subjects):
                     length = math.sqrt(sum(x * x for x in total.values()))

@@ -141,6 +141,17 @@ def test_greedy_work_is_bounded_and_keeps_all(spark):
     assert members.count() == 400 and members.groupBy("block").count().agg(F.max("count")).first()[0] == 50
 
 
+def test_rows_of_opinions_only_form_groups(spark, tmp_path):
+    got = _grouped(spark, ["great", "I love it", "bad", "", "terrible, very bad", "awful", "the kettle was good", "best"])
+    assert {r["label"]: r["size"] for r in got} == {"Good": 3, "Bad": 3}
+    from murmur.streaming import comments
+
+    spark.createDataFrame([(i, "v", t) for i, t in enumerate(["great", "bad", "", "love", "kettle good", "worst"])], "row_id long, video string, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = comments.drain(comments.grouped(comments.read_stream(spark, f"{tmp_path}/t"), similarity.folded_features(tx.tokenize_full(F.col("text")), []), "video", "row_id"), "append").collect()
+    groups = {r["row_id"]: r["group"] for r in rows}
+    assert set(groups) == {0, 1, 3, 4, 5} and groups[0] == groups[3] and groups[1] == groups[5] and len(set(groups.values())) == 3
+
+
 def test_similar_pairs_like_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
