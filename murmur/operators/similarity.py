@@ -87,12 +87,11 @@ def redundancy(sizes: DataFrame, total: Column, k: int = 6) -> DataFrame:
     return row.select("grouped", "groups", (F.col("grouped") - F.col("groups")).alias("redundant"), F.coalesce(F.round((F.col("grouped") - F.col("groups")) * 100 / total, 1), F.lit(0.0)).alias("compression"), "redundant_pairs")
 
 
-def _greedy(frame: pd.DataFrame, threshold: float) -> list[tuple[list[int], float]]:
-    """Groups of one block in input order: (members, cohesion). A member joins the group of best cosine with its running
-    sum, among groups that share a subject with it; the first member counts twice in the sum."""
+def _greedy(frame: pd.DataFrame, threshold: float, df: dict[str, int], n: int) -> list[tuple[list[int], dict[str, float]]]:
+    """Groups of one block in input order: (members, sum of their vectors). A member joins the group of best cosine with its
+    running sum, among groups that share a subject with it; the first member counts twice in the sum. A row without
+    subjects shares none and opens a group."""
     bags = [Counter(f) for f in frame["features"]]
-    df = Counter(t for b in bags for t in b)
-    n = len(bags)
     vectors = []
     for b in bags:
         v = {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in b.items()}
@@ -125,44 +124,115 @@ def _greedy(frame: pd.DataFrame, threshold: float) -> list[tuple[list[int], floa
                 held.append(best)
     out = []
     for group in groups:
-        m = group["members"]
-        total: Counter = Counter()
-        for i in m:
-            total.update(vectors[i])
-        square = sum(x * x for x in total.values())
-        out.append((m, min(1.0, (square - len(m)) / (len(m) * (len(m) - 1))) if len(m) > 1 else 1.0))
+        total: dict[str, float] = {}
+        for i in group["members"]:
+            for t, x in vectors[i].items():
+                total[t] = total.get(t, 0.0) + x
+        out.append((group["members"], total))
     return out
 
 
+def _joined(frame: pd.DataFrame, threshold: float) -> tuple[list[int], list[float]]:
+    """For the groups of all blocks of one value, in order: the group of the whole that each belongs to, and its cohesion.
+
+    A block's group joins the group of best cosine of their sums, among those of earlier blocks that share a subject with it.
+    """
+    whole: list[dict] = []
+    by_subject: dict[str, list[int]] = {}
+    chosen: list[int] = []
+    waiting: list[tuple[int, dict[str, float]]] = []
+
+    def settle() -> None:
+        for g, v in waiting:
+            total = whole[g]["sum"]
+            for t, x in v.items():
+                if t not in OPINION and t not in whole[g]["subjects"]:
+                    whole[g]["subjects"].add(t)
+                    by_subject.setdefault(t, []).append(g)
+                total[t] = total.get(t, 0.0) + x
+            whole[g]["square"] = sum(x * x for x in total.values())
+        waiting.clear()
+
+    block = None
+    for at, terms, weights, size in zip(frame["block"], frame["terms"], frame["weights"], frame["size"], strict=True):
+        if at != block:
+            settle()
+            block = at
+        v = dict(zip(terms, weights, strict=True))
+        length = math.sqrt(sum(x * x for x in v.values()))
+        best, score = -1, threshold
+        for g in sorted({g for t in v if t not in OPINION for g in by_subject.get(t, ())}):
+            total = whole[g]["sum"]
+            cosine = sum(x * total.get(t, 0.0) for t, x in v.items()) / math.sqrt(whole[g]["square"]) / length
+            if cosine > score or (best < 0 and cosine >= threshold):
+                best, score = g, cosine
+        if best < 0:
+            whole.append({"sum": {}, "square": 0.0, "subjects": set(), "size": 0})
+            best = len(whole) - 1
+        whole[best]["size"] += size
+        waiting.append((best, v))
+        chosen.append(best)
+    settle()
+    cohesion = [min(1.0, (g["square"] - g["size"]) / (g["size"] * (g["size"] - 1))) if g["size"] > 1 else 1.0 for g in whole]
+    return chosen, [cohesion[g] for g in chosen]
+
+
 def group_similar(df: DataFrame, features: Column, by: str, order_col: str, threshold: float = 0.30, block: int = BLOCK) -> DataFrame:
-    """(by, order_col, block, group, cohesion): greedy groups of similar rows in input order, within each value of ``by``.
+    """(by, order_col, features, block, grp, cohesion): greedy groups of similar rows in input order, within each value of ``by``.
 
     A value's rows are taken in blocks of at most ``block`` consecutive rows, each a task of bounded size however many
-    rows the value has; groups of different blocks meet by their label (``merge_groups``). Rows without features or
-    without a group's company form groups of one. A corpus of one block gives the plain greedy result.
+    rows the value has, weighed by the document frequencies of the whole value. Groups of different blocks then join by the
+    cosine of their sums, in one task for each value. Rows without features are left out; rows without a group's company
+    form groups of one. A value of one block gives the plain greedy result.
     """
-    # places per value of ``by`` come from one global sort, less the value's first place
+    # places per value of ``by`` come from one global sort, less the value's first place, which also stands for the value
     kept = df.select(by, order_col, features.alias("features")).where(F.size("features") > 0)
     rows = with_index(kept, [F.col(by).asc(), F.col(order_col).asc()], "__index")
-    firsts = rows.groupBy(F.col(by).alias("__by")).agg(F.min("__index").alias("__first"))
+    firsts = rows.groupBy(F.col(by).alias("__by")).agg(F.min("__index").alias("__first"), F.count("*").alias("__n"))
     rows = rows.join(firsts, F.col(by).eqNullSafe(F.col("__by"))).withColumn("block", F.floor((F.col("__index") - F.col("__first")) / block))
-    schema = f"{by} {df.schema[by].dataType.simpleString()}, {order_col} {df.schema[order_col].dataType.simpleString()}, features array<string>, block long, grp long, cohesion double"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order_col).reset_index(drop=True)
-        parts = []
-        for g, (members, cohesion) in enumerate(_greedy(frame, threshold)):
-            part = frame.loc[members, [by, order_col, "features", "block"]].copy()
-            part["grp"], part["cohesion"] = g, cohesion
-            parts.append(part)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[by, order_col, "features", "block", "grp", "cohesion"])
-
-    return rows.select(by, order_col, "features", "block").groupBy(by, "block").applyInPandas(run, schema)
+    held = rows.select("__first", "block", F.explode(F.array_distinct("features")).alias("term")).groupBy("__first", "block", "term").agg(F.count("*").alias("n"))
+    known = held.join(held.groupBy("__first", "term").agg(F.sum("n").alias("df")), ["__first", "term"]).select(F.col("__first").alias("__of"), F.col("block").alias("__block"), "term", "df")
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, order_col)}
+    schema = f"__first long, {by} {kinds[by]}, block long, part long, members array<{kinds[order_col]}>, bags array<array<string>>, terms array<string>, weights array<double>, size long"
+
+    def run(frame: pd.DataFrame, frequencies: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__index").reset_index(drop=True)
+        out = []
+        if len(frame):
+            groups = _greedy(frame, threshold, dict(zip(frequencies["term"], frequencies["df"], strict=True)), int(frame["__n"][0]))
+            for g, (members, total) in enumerate(groups):
+                out.append((frame["__first"][0], frame[by][0], frame["block"][0], g, [frame[order_col][i] for i in members], [list(frame["features"][i]) for i in members], list(total), list(total.values()), len(members)))
+        return pd.DataFrame(out, columns=["__first", by, "block", "part", "members", "bags", "terms", "weights", "size"])
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["block", "part"]).reset_index(drop=True)
+        frame["grp"], frame["cohesion"] = _joined(frame, threshold)
+        return frame[["__first", "block", "part", "grp", "cohesion"]].set_axis(["__of", "__block", "__part", "grp", "cohesion"], axis=1)
+
+    parts = checkpointed(rows.select("__first", "__n", "__index", by, order_col, "features", "block").groupBy("__first", "block").cogroup(known.groupBy("__of", "__block")).applyInPandas(run, schema))
+    joined = parts.select("__first", "block", "part", "terms", "weights", "size").groupBy("__first").applyInPandas(join, "__of long, __block long, __part long, grp long, cohesion double")
+    each = parts.join(joined, (F.col("__first") == F.col("__of")) & (F.col("block") == F.col("__block")) & (F.col("part") == F.col("__part"))).select(by, "block", "grp", "cohesion", F.inline(F.arrays_zip(F.col("members").alias("member"), F.col("bags").alias("bag"))))
+    return each.select(by, F.col("member").alias(order_col), F.col("bag").alias("features"), "block", "grp", "cohesion")
+
+
+def named_members(members: DataFrame, by: str, order_col: str, terms: int = 2) -> DataFrame:
+    """The members as from ``group_similar``, each with its group's ``label``."""
+    keyed = members.withColumn("key", F.struct(by, "grp"))
+    return keyed.join(group_labels(keyed, "key", "features", order_col, terms), "key")
+
+
+def discussion_sentiment(named: DataFrame, by: str, sentiment_col: str) -> DataFrame:
+    """(by, label, size, sentiment, positive, neutral, negative): of members with label and sentiment, groups of two or more."""
+    keyed = named.withColumn("key", F.struct(by, "label"))
+    mix = keyed.groupBy("key").agg(*(F.count_if(F.col(sentiment_col) == s).alias(s) for s in ("positive", "neutral", "negative")))
+    # fields of the key that are null join like others
+    pairs = group_sentiment(keyed, "key", sentiment_col).where("size >= 2").join(mix, "key")
+    return pairs.select(F.col(f"key.{by}").alias(by), F.col("key.label").alias("label"), "size", "sentiment", "positive", "neutral", "negative")
 
 
 def merge_groups(members: DataFrame, by: str, order_col: str, terms: int = 2) -> DataFrame:
     """(by, label, size, cohesion, first): groups of two or more members, those of equal label merged."""
-    keyed = members.withColumn("key", F.struct(by, "block", "grp"))
+    keyed = members.withColumn("key", F.struct(by, "grp"))
     labels = group_labels(keyed, "key", "features", order_col, terms)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.first("cohesion").alias("cohesion"), F.min(order_col).alias("first"))
     named = sizes.join(labels, "key").select(F.col(f"key.{by}").alias(by), "label", "size", "cohesion", "first")

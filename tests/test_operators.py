@@ -152,6 +152,19 @@ def test_rows_of_opinions_only_form_groups(spark, tmp_path):
     assert set(groups) == {0, 1, 3, 4, 5} and groups[0] == groups[3] and groups[1] == groups[5] and len(set(groups.values())) == 3
 
 
+def test_blocks_give_the_groups_of_one_pass(spark):
+    rng = random.Random(8)
+    topics = [[f"{'abcdefgh'[t]}{'klmnop'[w]}x" for w in range(6)] for t in range(8)]
+    rows = spark.createDataFrame([(i, "v", rng.sample(topics[rng.randrange(8)], 4)) for i in range(300)], "id long, video string, f array<string>")
+    parts = []
+    for size in (10_000, 40):
+        groups = {}
+        for r in similarity.group_similar(rows, F.col("f"), "video", "id", block=size).collect():
+            groups.setdefault(r["grp"], []).append((r["id"], round(r["cohesion"], 9)))
+        parts.append(sorted(sorted(g) for g in groups.values()))
+    assert parts[0] == parts[1] and len(parts[0]) == 8
+
+
 def test_similar_pairs_like_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
