@@ -111,13 +111,18 @@ class _Marks(dict):
         self[span] = after = WORD if not last else SENTENCE if last in _SENTENCE_ENDS else CLAUSE if last in _CLAUSE_ENDS else WORD
         found, tokens = [], 0
         words = self.encoder.words(" " + span)
+        run = 0
         for k, word in enumerate(words[:-1]):
             if word not in self.encoder.known:
                 self.encoder._contract([word])
             tokens += len(self.encoder.known[word])
-            breaks = word.count("\n") if word.isspace() else 0
+            # the line feeds of a whole run of blank words count together, at its end
+            run = run + word.count("\n") if word.isspace() else 0
+            breaks = 0 if words[k + 1].isspace() else run
+            if word.isspace() and not breaks:
+                continue
             if breaks or len(words) > 6 or word[-1] in _SENTENCE_ENDS + _CLAUSE_ENDS:
-                found.append((tokens, PARAGRAPH if breaks > 1 else LINE if breaks else CLAUSE if word[-1] in "。！？，；：、" else INSIDE / 2))
+                found.append((tokens, PARAGRAPH if breaks > 1 else LINE if breaks else SENTENCE if word[-1] in "。！？" else CLAUSE if word[-1] in "，；：、" else INSIDE / 2))
         if found:
             self.inner[span] = found
         return after

@@ -184,6 +184,22 @@ def test_pieces():
     assert ends.count(".") >= 0.9 * len(ends)
 
 
+@vocabulary
+def test_paragraphs_before_lines_and_wide_stops():
+    for span, kinds in (("para.\n\nNext", [splitting.PARAGRAPH]), ("para.\nNext", [splitting.LINE])):
+        marks = splitting.Splitter(tokens.VOCABULARY, 60, 10).marks
+        marks[span]
+        assert [p for _, p in marks.inner[span] if p <= splitting.LINE] == kinds
+    marks["日本。語のテ！キスト"]
+    assert [p for _, p in marks.inner["日本。語のテ！キスト"]].count(splitting.SENTENCE) == 2
+    splitter = splitting.Splitter(tokens.VOCABULARY, 60, 10)
+    text = "\n\n".join("\n".join(f"line {k} of some words here" for k in range(6)) for _ in range(8))
+    ((parts, ids),) = splitter.encoder.encode_spans([text])
+    flat = [t for piece in ids for t in piece]
+    cuts = [b"".join(splitter.bytes_of[t] for t in flat[:b]).decode() for _, b in splitter.split(parts, ids)[:-1]]
+    assert cuts and all(c.endswith("\n\n") for c in cuts)
+
+
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(1)
     for _ in range(20):
