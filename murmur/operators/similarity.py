@@ -84,7 +84,7 @@ def redundancy(sizes: DataFrame, total: Column, k: int = 6) -> DataFrame:
     """One row over the k largest groups of two or more: grouped rows, groups, redundant rows, their percent, and pairs."""
     top = sizes.where("size >= 2").orderBy(F.desc("size"), *[c for c in sizes.columns if c != "size"]).limit(k)
     row = top.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("grouped"), F.count("*").alias("groups"), F.coalesce(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.lit(0)).cast("long").alias("redundant_pairs"))
-    return row.select("grouped", "groups", (F.col("grouped") - F.col("groups")).alias("redundant"), F.coalesce(F.round((F.col("grouped") - F.col("groups")) * 100 / total, 1), F.lit(0.0)).alias("compression"), "redundant_pairs")
+    return row.select("grouped", "groups", (F.col("grouped") - F.col("groups")).alias("redundant"), F.coalesce(F.round((F.col("grouped") - F.col("groups")) * 100 / F.nullif(total, F.lit(0)), 1), F.lit(0.0)).alias("compression"), "redundant_pairs")
 
 
 def _greedy(frame: pd.DataFrame, threshold: float, df: dict[str, int], n: int) -> list[tuple[list[int], dict[str, float]]]:

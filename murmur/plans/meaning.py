@@ -11,6 +11,7 @@ from murmur.operators import similarity as sim
 from murmur.plans import sqltext as q
 from murmur.plans.basics import labelled, stop_words, table
 from murmur.plans.grammar import _singular
+from murmur.storage import checkpointed
 
 TARGETS = sorted({r[0] for r in lexicons.SENSES})
 
@@ -51,6 +52,22 @@ def discussion_groups(spark, folder):
     return sim.merge_groups(members, "video_id", "row_id")
 
 
+def _discussion_members(spark, folder):
+    return checkpointed(sim.group_similar(_featured(spark, folder), F.col("features"), "video_id", "row_id"))
+
+
+def discussion_sentiment(spark, folder):
+    named = sim.named_members(_discussion_members(spark, folder), "video_id", "row_id").select("video_id", "row_id", "label")
+    moods = _featured(spark, folder).select(F.col("row_id").alias("__row"), F.col("label").alias("mood"))
+    return sim.discussion_sentiment(named.join(moods, F.col("row_id") == F.col("__row")), "video_id", "mood")
+
+
+def discussion_redundancy(spark, folder):
+    sizes = sim.merge_groups(_discussion_members(spark, folder), "video_id", "row_id").select("video_id", "label", "size")
+    rows = table(spark, folder, "comments").where(F.col("text").rlike(r"\S"))
+    return sim.redundancy(sizes, F.lit(rows.count()))
+
+
 def _contexts(spark, folder):
     rows = table(spark, folder, "comments").where("text is not null")
     return ws.contexts(rows, tx.tokenize_full(F.col("text")), TARGETS)
@@ -80,7 +97,7 @@ def wsd_report(spark, folder):
     return ws.report(sense_scores(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (folded_features, feature_classes, similar_pairs, group_labels, group_sentiment, redundancy, discussion_groups, wsd_targets, wsd_context, gloss_overlap, sense_scores, wsd_report)}
+QUERIES = {f.__name__: f for f in (folded_features, feature_classes, similar_pairs, group_labels, group_sentiment, redundancy, discussion_groups, discussion_sentiment, discussion_redundancy, wsd_targets, wsd_context, gloss_overlap, sense_scores, wsd_report)}
 
 _SYN = q.values(lexicons.SYNONYMS.items(), "w, c", "syn")
 _FEAT = f"""{q.BASE}, {_SYN},

@@ -6,12 +6,12 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Sections of the report and the queries that give them; all of them are small, by a top-k or by their nature.
+#: Sections of the report and the queries that give them; all but the discussions are small, by a top-k or by their nature.
 SECTIONS = {
     "metrics": "headline_metrics", "sentiment": "sentiment_mix", "keywords": "tfidf_keywords", "topics": "block_topics", "summary": "summary", "feed": "comment_feed", "trend": "trend_chart",
     "morphology": "morph_summary", "forms": "top_forms", "roots": "top_roots", "affixes": "affix_breakdown", "word_classes": "pos_breakdown",
     "unigrams": "top_unigrams", "bigrams": "top_bigrams", "trigrams": "top_trigrams", "ngrams": "ngram_summary", "phrase_trends": "phrase_trends", "tags": "pos_distribution", "taggers": "tagger_agreement", "confusion": "tagger_confusion", "key_words": "pos_key_words",
-    "chunks": "chunk_types", "key_phrases": "key_phrases", "entity_types": "entity_types", "entities": "top_entities", "redundancy": "redundancy", "senses": "wsd_report",
+    "chunks": "chunk_types", "key_phrases": "key_phrases", "entity_types": "entity_types", "entities": "top_entities", "discussions": "discussion_sentiment", "redundancy": "discussion_redundancy", "senses": "wsd_report",
 }
 
 

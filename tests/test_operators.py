@@ -152,6 +152,22 @@ def test_rows_of_opinions_only_form_groups(spark, tmp_path):
     assert set(groups) == {0, 1, 3, 4, 5} and groups[0] == groups[3] and groups[1] == groups[5] and len(set(groups.values())) == 3
 
 
+def test_redundancy_of_discussions(spark, tmp_path, empty_tables):
+    from murmur.plans import meaning
+    from tests.conftest import write_tables
+
+    texts = ["audio quality is poor", "the audio quality was terrible", "audio quality very bad", "kettle lamp", "kettle lamp", "pricing page", "  ", None]
+    comments = [(i, 1, i, "v", "a", t, 0, None, None) for i, t in enumerate(texts)]
+    folder = write_tables(spark, tmp_path / "t", {"comments": comments, "polarity": [("poor", -0.9), ("terrible", -0.9), ("bad", -0.9)], "stop_word": [(w,) for w in ("the", "is", "was", "very")]})
+    sizes = [3, 2]
+    (row,) = meaning.discussion_redundancy(spark, folder).collect()
+    assert row.asDict() == {"grouped": sum(sizes), "groups": len(sizes), "redundant": sum(sizes) - len(sizes), "compression": 50.0, "redundant_pairs": sum(n * (n - 1) // 2 for n in sizes)}
+    got = {r["label"]: (r["size"], r["sentiment"], r["positive"], r["neutral"], r["negative"]) for r in meaning.discussion_sentiment(spark, folder).collect()}
+    assert got == {"Audio Quality": (3, "negative", 0, 0, 3), "Kettle Lamp": (2, "neutral", 0, 2, 0)}
+    assert report.SECTIONS["redundancy"] == "discussion_redundancy"
+    assert [r["grouped"] for r in meaning.discussion_redundancy(spark, empty_tables).collect()] == [0]
+
+
 def test_blocks_give_the_groups_of_one_pass(spark):
     rng = random.Random(8)
     topics = [[f"{'abcdefgh'[t]}{'klmnop'[w]}x" for w in range(6)] for t in range(8)]
