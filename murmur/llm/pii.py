@@ -539,8 +539,13 @@ def redact_columns(df: DataFrame, given_names: DataFrame | None, columns: tuple[
     return df.withColumns({c: F.col(c).cast("string") for c in columns}).mapInArrow(run, schema)
 
 
+def _labelled(column: str):
+    """The column's name beside a kind. A closure, as a second parameter of a lambda would be the place in the array."""
+    return lambda kind: F.struct(F.lit(column).alias("field"), kind.alias("kind"))
+
+
 def personal_information(df: DataFrame, given_names: DataFrame | None, id_col: str = "row_id", columns: tuple[str, ...] = ("text", "author")) -> DataFrame:
     """(id_col, field, kind): one row for each column and kind that occurs in it, however often."""
     found = redact_columns(df.select(id_col, *columns), given_names, columns)
-    pairs = F.concat(*(F.transform(F.col(f"{c}_kinds"), lambda k, c=c: F.struct(F.lit(c).alias("field"), k.alias("kind"))) for c in columns))
+    pairs = F.concat(*(F.transform(F.col(f"{c}_kinds"), _labelled(c)) for c in columns))
     return found.select(id_col, F.inline(pairs))
