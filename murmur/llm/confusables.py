@@ -49,12 +49,17 @@ _BASIC = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(TABLE) if c
 _BEYOND = re.compile("[\U00010000-\U0010FFFF]").search
 
 
+def replaceable(text: str) -> bool:
+    """Whether the table replaces any character of the text, or may do so."""
+    return bool(_BASIC(text) or _BEYOND(text))
+
+
 def skeleton(text: str | None) -> str | None:
     """The one form of all texts that look like this one; null stays null, and a text of invisible characters becomes empty."""
     if text is None or text.isascii():
         return text
     text = unicodedata.normalize("NFD", text)
-    return unicodedata.normalize("NFD", text.translate(TABLE)) if _BASIC(text) or _BEYOND(text) else text
+    return unicodedata.normalize("NFD", text.translate(TABLE)) if replaceable(text) else text
 
 
 def shown(text: str | None) -> str | None:

@@ -1,527 +1,552 @@
 """Personal information inside free text, found by a semi-Markov conditional random field.
 
-Whole spans are scored: a span's type, its shape as a whole, its words and the words around it are features, and a
-dynamic program over spans of bounded length chooses boundaries and types together.  The weights are fitted by maximum
-likelihood on sentences that ``training_sentences`` composes, so no labelled data are needed; they are a small table.
+Every span of tokens up to a bounded length is a candidate of every kind that its characters allow; patterns propose
+nothing. A span is scored as a whole: its shape, its words, the words around it and the kinds next to it are features, and
+a dynamic program chooses boundaries and kinds together. All spans of a batch are scored at once by array operations; a
+span that cannot gain on leaving it out is dropped before the dynamic program, which changes no result.
+
+The weights are fitted by maximum likelihood on sentences that ``pii_training`` composes, so no labelled data are needed;
+they are a table of fixed size.
 """
 
 from __future__ import annotations
 
 import functools
-import math
-import random
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.llm.confusables import TABLE
+from murmur.llm import pii_words as W
+from murmur.llm.confusables import TABLE, replaceable
+from murmur.llm.tokens import VOCABULARY, read_ranks
+from murmur.storage import checkpointed
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Longest span in characters.
-LONGEST = 120
-#: Parts between blanks of the longest number.
-MOST_PARTS = 11
-#: Letters of a family name's ending, and how many endings are kept.
-ENDING, MOST_ENDINGS = 4, 5_000
-
-# Words that speak for or against a kind of span.
-PHONE_CUES = set("call phone text whatsapp ring tel telephone telefon teléfono landline mobile cell sms dial reach anrufen rufen an ruf appelez llama sale selling".split())
-ID_CUES = set(
-    "ssn social passport licence license identity id dni nif nie pesel ausweis ausweisnummer personalausweis insurance sécu secu insee tax steuer cpf bsn personnummer nin national security".split()
-)
-CODE_CUES = set(
-    "model invoice order code firmware version serial ticket score iso room shot part chapter build sku item tracking page level take counts metronome says views recorded fps watts rounds shutter digits frames song".split()
-)
-PLACE_CUES = set("at to in live come by parcel send ship address house meet visit up here deliver studio".split())
-NAME_CUES = set("thanks to regards signed is from with by ask an what was that greetings danke name mr mrs ms dr".split())
-NUMBER_WORDS = set("zero oh one two three four five six seven eight nine double triple".split())
-PARTICLES = set("van von de del der den la di da du bin al".split())
-STREETS = "street|st|avenue|ave|road|rd|lane|ln|crescent|mews|court|drive|close|square|terrace|boulevard|blvd|gardens|row|walk|way"
-_W = r"[^\W\d_][^\W\d_'’-]*(?:[-'’][^\W\d_]+)*"
-_CITY = rf"{_W}"
-_TAILS = ("", rf",? (?:\d{{4,6}} )?{_CITY}", rf",? (?:\d{{4,6}} )?{_CITY} {_CITY}", rf",? {_CITY} \d{{4,6}}", rf",? {_CITY} {_CITY} \d{{4,6}}")
-_UNIT = r"(?:(?:flat|apartment|apt|suite|unit|building|floor)\.? \d{1,4}[a-z]?,? )"
-_ADDRESS = {
-    "number first": rf"{_UNIT}?\d{{1,5}}[a-z]?,? (?:{_W} ){{1,2}}(?:{STREETS})\b(?![-’'])(?:(?<=st)\.)?(?:,? (?:apt|apartment|unit|flat|suite)\.? ?\d{{1,4}}[a-z]?\b)?",
-    "building": rf"{_UNIT}(?:{_W} ){{1,2}}(?:{STREETS})\b(?![-’'])(?:(?<=st)\.)?(?:,? (?:apt|apartment|unit|flat|suite)\.? ?\d{{1,4}}[a-z]?\b)?",
-    "rue": rf"\d{{1,5}}[a-z]?,? (?:rue|avenue|boulevard|place|chemin|quai|impasse)(?: (?:de|du|des|la|le|les))* {_W}",
-    "calle": rf"(?:calle|plaza|avenida|paseo|via|piazza|camino|rua|ulica)(?: (?:de|del|la|las|los))* {_W},? \d{{1,5}}[a-z]?(?:, \d{{1,2}}[oºa°]? ?[a-z]\b)?",
-    "weg": rf"(?:(?:am|im|an der|auf dem) )?{_W}(?:straße|strasse|weg|hang|gasse|platz|allee|ring|damm|ufer) \d{{1,4}}[a-z]?\b",
-}
-_ADDRESS_RX = {k: [re.compile(r"(?<!\w)" + v + t, re.I) for t in _TAILS] for k, v in _ADDRESS.items()}
-_AT = r"(?:@| @ | ?\(at\) ?| ?\[at\] ?| ?\{at\} ?| at )"
-_EMAIL_RX = re.compile(rf"(?<![\w.+-])[\w+-][\w.+-]{{0,63}}{_AT}[\w-]+(?:[ ]?(?:\.|\(dot\)|\[dot\]| dot )[ ]?[a-z][\w-]*)+", re.I)
-_GROUP = r"(?:\(?\+?\(?\d+\)?)"
-_NUMBER_RX = re.compile(rf"(?<![\w.])(?:[a-z]{{1,4}}[ -]?(?=\d))?(?:{_GROUP})(?:[ .\-/]{{1,2}}{_GROUP})*(?:[ -]?[a-z]\b|[a-z]\d+)?(?:,? ?(?:ext|x|extension)\.? ?\d{{1,5}})?(?![\w])", re.I)
-_SPOKEN_RX = re.compile(rf"(?<!\w)(?:{'|'.join(NUMBER_WORDS)})(?:[ ,-]+(?:{'|'.join(NUMBER_WORDS)})){{6,}}(?!\w)", re.I)
-_LAST_RX = re.compile(r"([^\W_]+)[^\w.!?]*$")
-_FIRST_RX = re.compile(rf"(?<![\w.+/-])(?<!\w@){_W}(?= )", re.I)
-_PAIR_RX = re.compile(rf"(?<![\w.+/-])(?<!\w@)({_W}) ((?:[^\W\d_]\. ?|(?:{'|'.join(PARTICLES)}) ){{0,2}})({_W})(?![\w@+]| ?@| ?[\[({{]at\b)", re.I)
-_DIGITS = re.compile(r"\d+")
-_WORD_RX = re.compile(r"[^\W_]+")
+#: Tokens of the longest span of each kind; a token is a run of letters, a run of digits or a sign.
+LONGEST = {"email": 19, "phone": 24, "id_number": 16, "address": 17, "name": 8}
+#: Places of the weight table, a power of two.
+BITS = 18
+#: Letters of a family name's ending, how many endings and how many frequent words are kept of the texts at hand.
+ENDING, MOST_ENDINGS, MOST_FREQUENT = 4, 5_000, 50_000
+#: Signs between texts that are read together, no fewer than the widest context.
+_EDGE = "\x00" * 7
+_TOKENS = re.compile(r"\s+|(?:[^\W\d_][̀-ͯ]*)+|\d+|.", re.S)
+_LETTERS, _DIGITS, _SIGN, _SPACE, _END = range(5)
+_SIGNS = "@.-_+/(),:;'#°ªº&*[]{}<>=!?\"|~$%€£"
+_FLAGS = ("given", "common", "usual", "familiar", "at", "dot", "phone_cue", "id_cue", "code_cue", "place_cue", "name_cue", "number", "street", "prefix", "unit", "particle", "title", "extension", "bracket", "region", "abbreviation")
+#: Columns of a token's row: what it is, its length, letter case, level of commonness, shapes, hashes of its endings.
+_COLUMNS = ("type", "length", "case", "known", "number_shape", "word_shape", "end1", "end2", "end3", "sign", "digits")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Span(NamedTuple):
     start: int
     end: int
     kind: str
-    features: tuple[str, ...]
+
+
+class Model(NamedTuple):
+    weights: np.ndarray
+    #: Score of kind b right after kind a; place 0 is text outside spans.
+    follow: np.ndarray
 
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text in plain characters, and for each of them the place of its origin; None where places are the same."""
-    if text.isascii() and "  " not in text and "\n" not in text:
+    text = text.replace("\x00", " ")
+    if text.isascii() or not replaceable(text):
         return text, None
-    chars, places, blank = [], [], False
+    chars, places = [], []
     for at, char in enumerate(text):
         plain = TABLE.get(ord(char), char)
-        plain = " " if plain.isspace() else plain
-        if plain == " " and blank:
-            continue
-        if plain:
-            blank = plain == " "
         chars.append(plain)
         places += [at] * len(plain)
     return "".join(chars), [*places, len(text)]
 
 
-def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    before = [w.lower() for w in _WORD_RX.findall(text[max(0, start - 40) : start])]
-    after = [w.lower() for w in _WORD_RX.findall(text[end : end + 30])]
-    return before[-4:], after[:3]
-
-
-def _number_features(span: str, before: list[str], after: list[str]) -> Iterator[str]:
-    groups = _DIGITS.findall(span)
-    count = sum(map(len, groups))
-    lead = re.match(r"[a-z]*", span, re.I)[0].lower()
-    shape = "-".join(str(len(g)) for g in groups[:8])
-    yield f"shape {shape}"
-    yield f"digits {min(count, 16)}"
-    yield f"start {'+' if span[0] == '+' else '(' if span[0] == '(' else '00' if span.startswith('00') else '0' if span[0] == '0' else 'd' if span[0].isdigit() else 'letters'}"
-    if lead:
-        yield f"letters {len(lead)}"
-        yield f"lead {'id' if lead in ID_CUES else 'other'}"
-    if span[-1].isalpha():
-        yield "ends in letter"
-    if re.search(r"[a-z]", span[len(lead) : -1], re.I):
-        yield "ext" if "x" in span.lower() and " " in span else "letters inside"
-    joins = set(re.findall(r"[ .\-/()]", span))
-    yield "joins " + "".join(sorted(joins))
-    if re.fullmatch(r"(?:\+?1[ .-]?)?\(?[2-9]\d\d\)?[ .-]?[2-9]\d\d[ .-]?\d{4}(?:.*ext.*)?", span, re.I):
-        yield "ten digits of North America"
-    if span[0] in "+0(" and 9 <= count <= 14:
-        yield "dialled with prefix"
-    identity = bool(ID_CUES & set(before[-3:] + after[:1]))
-    for cues, name in ((PHONE_CUES, "phone"), (ID_CUES, "id"), (CODE_CUES, "code")):
-        if identity if name == "id" else cues & set(before[-3:]) and not identity:
-            yield f"{name} cue before"
-        if cues & set(after):
-            yield f"{name} cue after"
-    if "number" in before and "my" in before:
-        yield "my number"
-    if not before and not after:
-        yield "alone"
-
-
-def _word_shape(word: str) -> str:
-    return "upper" if word.isupper() and len(word) > 1 else "title" if word[:1].isupper() else "lower"
-
-
-def candidates(text: str, given: frozenset[str], common: frozenset[str], endings: frozenset[str] = frozenset()) -> list[Span]:
-    """Spans that may be personal information, with their features; they overlap, and one stretch may have several kinds.
-
-    ``endings``: the last letters of words that mostly follow given names in the texts at hand, as from ``family_endings``.
-    """
-    out: list[Span] = []
-
-    def add(start: int, end: int, kind: str, features: Iterable[str]) -> None:
-        if 0 < end - start <= LONGEST:
-            out.append(Span(start, end, kind, tuple(f"{kind} {f}" for f in ("bias", *features))))
-
-    lower = text.lower()
-    if "@" in text or "at" in lower:
-        for m in _EMAIL_RX.finditer(text):
-            span = m[0].lower()
-            sign = "@" if "@" in span else "bracket" if re.search(r"[(\[{]at", span) else "at"
-            dot = "word" if re.search(r" dot |[(\[]dot", span) else "sign"
-            add(m.start(), m.end(), "email", (f"{sign} {dot}", "spaced" if " " in span else "tight"))
-    if any(c.isdigit() for c in text):
-        for m in _NUMBER_RX.finditer(text):
-            if sum(c.isdigit() for c in m[0]) < 5:
-                continue
-            # the whole run and up to MOST_PARTS of its parts between blanks, from each part on
-            edges = [m.start(), *(m.start() + b.end() for b in re.finditer(r" ", m[0])), m.end() + 1]
-            runs = [(edges[i], edges[j] - 1) for i in range(len(edges) - 1) for j in range(i + 1, min(len(edges), i + 1 + MOST_PARTS)) if edges[j] - 1 - edges[i] <= LONGEST]
-            for a, b in runs if len(edges) <= MOST_PARTS + 1 else [*runs, (m.start(), m.end())]:
-                piece = text[a:b]
-                while piece and piece[-1] in " ,.-/(":
-                    piece, b = piece[:-1], b - 1
-                if piece[0] == "(" and piece[-1] == ")" and piece.count("(") == 1:
-                    piece, a, b = piece[1:-1], a + 1, b - 1
-                if piece.count("(") > piece.count(")"):
-                    cut = piece.index("(") + 1
-                    piece, a = piece[cut:], a + cut
-                if piece.count("(") < piece.count(")"):
-                    piece, b = piece[:-1], b - 1
-                if not piece or sum(c.isdigit() for c in piece) < 5:
-                    continue
-                before, after = _around(text, a, b)
-                features = list(_number_features(piece, before, after))
-                if (a, b) == (m.start(), m.end()):
-                    features.append("whole run")
-                for kind in ("phone", "id_number"):
-                    add(a, b, kind, features)
-        for name, forms in _ADDRESS_RX.items():
-            if not forms[0].search(text):
+@functools.lru_cache(maxsize=2)
+def frequent_words(vocabulary: str = VOCABULARY) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of at least four letters that a public vocabulary holds in small letters, and those it holds with a capital only."""
+    tokens = [t[1:].decode() for t in read_ranks(vocabulary) if t[:1] == b" " and len(t) > 4 and t[1:].isalpha()]
+    lower = frozenset(t for t in tokens if t.islower())
+    return lower, frozenset(w for t in tokens if t.istitle() and (w := t.lower()) not in lower)
+
+
+class Lists(NamedTuple):
+    """Words that a reading of the texts rests on, beside the fixed ones."""
+
+    given: frozenset[str]
+    common: frozenset[str]
+    endings: frozenset[str] = frozenset()
+    familiar: frozenset[str] = frozenset()
+    lower: frozenset[str] = frozenset()
+    capital: frozenset[str] = frozenset()
+
+
+class _Rows(dict):
+    """Row number of each distinct token; a token that is met first gets its row."""
+
+    def __init__(self, lists: Lists):
+        super().__init__()
+        self.lists, self.rows, self.flags = lists, [], []
+        self.table, self.bits = np.zeros((0, len(_COLUMNS)), np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, token: str) -> int:
+        row, flags = self._describe(token)
+        self[token] = at = len(self.rows)
+        self.rows.append(row)
+        self.flags.append(flags)
+        return at
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.rows) > len(self.table):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.int64).reshape(-1, len(_COLUMNS))])
+            self.bits = np.concatenate([self.bits, np.array(self.flags[len(self.bits) :], np.int64)])
+        return self.table, self.bits
+
+    @staticmethod
+    def _lead(digits: str) -> int:
+        """How a run of digits begins: by the prefixes of dialling, or as a whole number of North America."""
+        return 3 if digits.startswith("00") else 1 if digits[0] == "0" else 2 if re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", digits) else 0
+
+    def _describe(self, token: str) -> tuple[tuple[int, ...], int]:
+        if token == "\x00":
+            return (_END, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), 0
+        if token.isspace():
+            return (_SPACE, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), 0
+        flag = lambda *names: sum(1 << _FLAGS.index(n) for n in names)
+        if token[0].isdigit() or token.isdecimal():
+            n = min(len(token), 14)
+            return (_DIGITS, n, 0, 0, n, min(n, 7), 0, 0, 0, self._lead(token), len(token)), 0
+        if not token[0].isalpha():
+            sign = unicodedata.normalize("NFKC", token)[:1] or token
+            sign = "-" if unicodedata.category(token[0]) == "Pd" else "'" if sign in "’‘`´" else sign
+            at = _SIGNS.find(sign) + 1
+            roles = [n for n, held in (("at", "@"), ("dot", "."), ("bracket", "()[]{}<>")) if sign in held]
+            return (_SIGN, 1, 0, 0, 20 + at, 40 + at, 0, 0, 0, at + 1, 0), flag(*roles)
+        word = unicodedata.normalize("NFC", token)
+        lower = word.lower()
+        case = 4 if len(word) == 1 else 0 if word.islower() else 2 if word.isupper() else 1 if word.istitle() else 3
+        lists = self.lists
+        common = lower in lists.common
+        known = 3 if common else 2 if lower in lists.lower else 1 if lower in lists.capital else 0
+        roles = [n for n, held in W.ROLES.items() if lower in held]
+        if any(lower.endswith(s) and len(lower) > len(s) + 2 for s in W.STREET_ENDINGS):
+            roles.append("street")
+        given = lower in lists.given
+        if len(lower) > ENDING and lower[-ENDING:] in lists.endings and lower not in lists.lower:
+            roles.append("usual")
+        if lower in lists.familiar:
+            roles.append("familiar")
+        role = next((k for k, n in enumerate(("street", "prefix", "unit", "number", "particle", "title", "region", "at", "dot", "extension")) if n in roles), None)
+        shape = 8 + role * 2 + (case == 1) if role is not None else 28 + given * 4 + (known > 1) * 2 + (case == 1) if len(word) > 1 else 36
+        end = [hash_of(lower[-n:]) if len(lower) > n else 0 for n in (1, 2, 3)]
+        return (_LETTERS, min(len(lower), 12), case, given * 4 + known, 14 + min(len(word), 5), shape, *end, 0, 0), flag(*roles, *(["given"] if given else []), *(["common"] if common else []))
+
+
+def hash_of(text: str) -> int:
+    """A number below 2^20 that every process gives the same text."""
+    out = 0
+    for char in text:
+        out = (out * 1_000_003 + ord(char)) & 0xFFFFFFFF
+    return (out ^ out >> 12) & 0xFFFFF
+
+
+class Batch:
+    """The tokens of some texts as arrays, and sums of their flags from the beginning on."""
+
+    def __init__(self, texts: list[str], rows: _Rows, change=None):
+        whole = _EDGE + _EDGE.join(texts) + _EDGE
+        tokens = _TOKENS.findall(whole)
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        number = np.fromiter(map(rows.__getitem__, tokens), np.int64, len(tokens))
+        table, bits = rows.arrays()
+        starts = np.cumsum(lengths) - lengths
+        kept = table[number, 0] != _SPACE
+        spaced = np.append(False, ~kept[:-1])[kept]
+        self.number, self.start, self.length = number[kept], starts[kept], lengths[kept]
+        self.token = [tokens[k] for k in np.flatnonzero(kept)] if change else None
+        self.spaced = spaced.astype(np.int64)
+        self.col = {name: table[self.number, k] for k, name in enumerate(_COLUMNS)}
+        self.bits = bits[self.number]
+        # the place of each text's first character in the whole
+        self.origin = np.cumsum([len(_EDGE), *(len(t) + len(_EDGE) for t in texts)])[:-1]
+        self.text_of = np.searchsorted(self.origin, self.start, side="right") - 1
+        if change:
+            change(self)
+        self._finish()
+
+    def flag(self, name: str) -> np.ndarray:
+        return (self.bits >> _FLAGS.index(name)) & 1
+
+    def _finish(self) -> None:
+        col, n = self.col, len(self.number)
+        kind, sign = col["type"], col["sign"]
+        edge = kind == _END
+        letters, digits = kind == _LETTERS, kind == _DIGITS
+        word = letters & (col["length"] > 1)
+        number = self.flag("number") == 1
+        signs = lambda chars: np.isin(sign, [_SIGNS.find(c) + 2 for c in chars]) & (kind == _SIGN)
+        at_dot = (self.flag("at") | self.flag("dot")) == 1
+        bracket = self.flag("bracket") == 1
+        joint = at_dot | bracket
+        shifted = lambda x: np.append(False, x[:-1])
+        spaced = self.spaced == 1
+        case = col["case"]
+        # a text's letter case as a whole: mixed, all small, all capital
+        owner = np.maximum(self.text_of, 0)
+        count = len(self.origin)
+        capital = np.bincount(owner[letters], weights=(case[letters] % 4 == 2) * 1.0, minlength=count)
+        small = np.bincount(owner[letters], weights=(case[letters] == 0) * 1.0, minlength=count)
+        total = np.bincount(owner[letters], minlength=count)
+        mood = np.where(small == total, 1, np.where((capital >= 0.8 * total) & (total > 1), 2, 0))
+        self.mood = mood[owner]
+        attached = (letters & (col["length"] <= 4)) & ((case % 4 == 2) | (case == 4) | (~np.append(spaced[1:], True) & np.append(digits[1:], False)) | (~spaced & shifted(digits)))
+        # a full stop right after a word or number and before a blank ends a sentence, but not after an abbreviation
+        short = letters & ((case == 4) | (self.flag("abbreviation") == 1))
+        stop = shifted(signs(".") & ~spaced & ~shifted(short))
+        sums = {
+            "email_bad": ~(letters | digits | joint | signs("_-+")), "email_gap": spaced & (~(joint | shifted(joint)) | stop),
+            "number_bad": ~(digits | number | attached | (self.flag("extension") == 1) | signs("+-./(),")), "number_gap": spaced & stop,
+            "address_bad": ~(letters | digits | signs(",-'/#°ªº&") | (signs(".") & shifted(short))),
+            "name_bad": ~(letters | (signs(".") & shifted(short) & ~spaced) | (signs("-'") & ~spaced)),
+            "letters": letters, "word": word, "digit_run": digits, "house": digits & ~(~spaced & shifted(letters)), "units": np.where(number, 1, col["digits"]), "spaced": spaced, "comma": signs(","), "spaced_letters": letters & spaced, "low": letters & (case == 0), "new": letters & (col["known"] % 4 < 2), "common": letters & (col["known"] % 4 == 3), "paren": signs("("), "close": signs(")"),
+            **{f"sign {c}": signs(c) for c in "+-./"}, **{f: self.flag(f) == 1 for f in ("at", "dot", "phone_cue", "id_cue", "code_cue", "place_cue", "name_cue", "number", "street", "prefix", "unit", "particle", "extension", "region", "usual", "given")},
+        }
+        self.sums = {k: np.concatenate(([0], np.cumsum(v, dtype=np.int64))) for k, v in sums.items()}
+        tight = ~spaced
+        wordy = letters | digits | signs("_-+@")
+        self.masks = {
+            "letters": letters, "digits": digits, "word": word, "number": number, "edge": edge, "email_first": letters | digits | signs("_"), "email_last": letters & (col["length"] > 1), "number_first": digits | number | attached | signs("+("),
+            "number_last": digits | number | attached, "address_first": digits | letters, "address_last": digits | letters | signs("ªº"),
+        }
+        # what stands before and after each token: its class, and whether it touches
+        look = np.where(edge, 1, np.where(digits, 2, np.where(kind == _SIGN, 16 + sign, 3 + np.minimum(col["known"], 7))))
+        self.look = look
+        pad = lambda x, k: np.roll(x, k)
+        self.before, self.after = pad(look, 1), pad(look, -1)
+        self.before2, self.after2 = pad(look, 2), pad(look, -2)
+        # whether the text goes on, without a blank, before and after the token
+        self.runs_on_left = tight & pad(wordy, 1) | tight & pad(signs("./"), 1) & pad(tight, 1) & pad(letters | digits, 2)
+        after_tight = pad(tight, -1)
+        self.runs_on_right = after_tight & pad(wordy, -1) | after_tight & pad(signs("./:"), -1) & pad(tight, -2) & pad(letters | digits, -2)
+        self.next_spaced = pad(self.spaced, -1)
+        self.n = n
+        # the place after each text's last token
+        self.stop = np.zeros(count, np.int64)
+        inner = np.flatnonzero(~edge)
+        np.maximum.at(self.stop, owner[inner], inner + 1)
+
+    def spans(self, kind: str, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last token and shape of every span of the kind that begins at a token from low on and below high."""
+        s, m, n = self.sums, self.masks, self.n
+        begin = np.arange(low, high)
+        shape = self.col["word_shape" if kind in ("address", "name") else "number_shape"].astype(np.uint64)
+        if kind == "email":
+            begin = begin[m["email_first"][begin]]
+        elif kind in ("phone", "id_number"):
+            begin = begin[m["number_first"][begin]]
+        elif kind == "address":
+            begin = begin[m["address_first"][begin]]
+        else:
+            begin = begin[m["word"][begin]]
+        rolled = shape[begin] + np.uint64(7)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last = begin
+        for size in range(1, LONGEST[kind] + 1):
+            if size > 1:
+                fine = last + 1 < n
+                begin, last, rolled = begin[fine], last[fine] + 1, rolled[fine]
+                # a span with a token that the kind can't hold can't grow either
+                bad = {"email": "email_bad", "phone": "number_bad", "id_number": "number_bad", "address": "address_bad", "name": "name_bad"}[kind]
+                fine = s[bad][last + 1] == s[bad][last]
+                if (gap := {"email": "email_gap", "phone": "number_gap", "id_number": "number_gap"}.get(kind)) is not None:
+                    fine &= s[gap][last + 1] == s[gap][last]
+                begin, last, rolled = begin[fine], last[fine], rolled[fine]
+                if not len(begin):
+                    break
+                rolled = rolled * np.uint64(1_000_003) + shape[last] * np.uint64(2) + self.spaced[last].astype(np.uint64)
+            elif kind in ("email", "name"):
                 continue
-            for k, rx in enumerate(forms):
-                for m in rx.finditer(text):
-                    before, after = _around(text, m.start(), m.end())
-                    words = re.findall(r"(?<!\d)" + _W, m[0])
-                    tail = words[-2 if k in (2, 4) else -1 :] if k else []
-                    shapes = {_word_shape(w) for w in tail}
-                    known = any(w.lower() in common for w in tail)
-                    street = next((w.lower() for w in words if re.fullmatch(STREETS, w, re.I)), "none")
-                    body = words[: next((n for n, w in enumerate(words) if w.lower() == street), 1)]
-                    add(m.start(), m.end(), "address", [name, f"tail {k}", f"tail {k} {'known' if known else 'new'} {'same' if len(shapes) < 2 else 'mixed'}", f"{name} {'known' if any(w.lower() in common for w in body) else 'new'} body", f"{name} body {'title' if all(w[:1].isupper() for w in body) else 'other'}", f"street {street}", *([f"tail {k} {'comma' if re.search(r', [^,]*$', m[0]) else 'no comma'}"] if k else []), *(["place cue"] if PLACE_CUES & set(before[-3:]) else []), *(["code cue before"] if CODE_CUES & set(before[-1:]) else [])])
-    for m in _SPOKEN_RX.finditer(text):
-        add(m.start(), m.end(), "phone", ("spoken",))
-    # every pair of a listed given name, or of a word that no word list has, and the word after it
-    at = 0
-    while m := _FIRST_RX.search(text, at):
-        at = m.end()
-        first = m[0].lower()
-        listed = first in given
-        if not listed and (len(first) < 3 or first in common):
-            continue
-        m = _PAIR_RX.match(text, m.start())
-        if not m or len(m[3]) < 2 or first in NUMBER_WORDS:
-            continue
-        family = m[3].lower()
-        known = family in common
-        if known and not listed:
-            continue
-        lead, tail = _LAST_RX.search(text, max(0, m.start() - 24), m.start()), text[m.end() : m.end() + 20].split(None, 1)
-        before = lead[1].lower() if lead else ""
-        who, shapes = "listed" if listed else "new", f"{_word_shape(m[1])} {_word_shape(m[3])}"
-        features = [who, f"{who} {shapes}", f"{who} {'known' if known else 'new'} word", f"{who} {'known' if known else 'new'} {shapes}"]
-        features += [f"length {min(len(family), 10)}", *(f"{who} ends {family[-n:]}" for n in (1, 2, 3) if len(family) > n)]
-        features += [] if listed else [f"first ends {first[-2:]}"]
-        features += [f"{who} middle"] if m[2] else []
-        features += [f"{who} joined"] if "-" in family else []
-        features += [f"{who} {_word_shape(m[3])} name cue"] if before in NAME_CUES else []
-        features += [f"{who} alone"] if not before and not tail else [f"{who} first"] if not before else []
-        features += [f"{who} {shapes} before {_word_shape(tail[0])}"] if tail and tail[0][0].isalpha() else []
-        features += [f"{who} before number"] if tail and tail[0][0].isdigit() else []
-        features += ["preceded by listed"] if before in given else [f"{who} after new word"] if before and before not in common else []
-        features += ["family listed"] if family in given else []
-        features += [f"{who} {shapes} usual ending", f"{who} usual ending"] if family[-ENDING:] in endings else []
-        add(m.start(), m.end(), "name", features)
-    return out
-
-
-def _lattice(spans: list[Span]) -> tuple[list[int], dict[int, list[int]]]:
-    points = sorted({p for s in spans for p in (s.start, s.end)})
-    ending: dict[int, list[int]] = {}
-    for k, s in enumerate(spans):
-        ending.setdefault(s.end, []).append(k)
-    return points, ending
-
-
-def decode(spans: list[Span], weights: dict[str, float]) -> list[Span]:
-    """The set of disjoint spans with the greatest sum of scores; text outside spans scores 0."""
-    points, ending = _lattice(spans)
-    best, came = {}, {}
-    last = 0.0
-    previous = None
-    for p in points:
-        best[p], came[p] = last, (previous, None)
-        for k in ending.get(p, ()):
-            score = best[spans[k].start] + sum(weights.get(f, 0.0) for f in spans[k].features)
-            if score > best[p]:
-                best[p], came[p] = score, (spans[k].start, k)
-        last, previous = best[p], p
-    out, p = [], previous
-    while p is not None:
-        p, k = came[p]
-        if k is not None:
-            out.append(spans[k])
-    return out[::-1]
-
-
-def _expected(spans: list[Span], scores: list[float]) -> list[float]:
-    """The probability of each span under the distribution over sets of disjoint spans."""
-    points, ending = _lattice(spans)
-    starting: dict[int, list[int]] = {}
-    for k, s in enumerate(spans):
-        starting.setdefault(s.start, []).append(k)
-    add = lambda xs: (m := max(xs)) + math.log(sum(math.exp(x - m) for x in xs))
-    ahead, last = {}, 0.0
-    for p in points:
-        ahead[p] = last = add([last, *(ahead[spans[k].start] + scores[k] for k in ending.get(p, ()))])
-    behind, following = {}, 0.0
-    for p in reversed(points):
-        behind[p] = following = add([following, *(behind[spans[k].end] + scores[k] for k in starting.get(p, ()))])
-    return [math.exp(min(0.0, ahead[s.start] + scores[k] + behind[s.end] - last)) for k, s in enumerate(spans)]
-
-
-# ---- training sentences -------------------------------------------------------------------------------------------
-
-_SLOT = re.compile(r"\{(\w+)\}")
-_POSITIVE = [
-    "Mail: {email}", "You may reach our office under {email} on weekdays.", "{email}", "Questions go to {email}, we answer all", "drop a line at {email}", "Is {email} still read by anybody?", "My address for invitations ({email}) has changed.", "Forward it to {email}!", "cc {email} as well", "Who writes as {email}?",
-    "Phone {phone} before noon", "{phone}", "You can ring {phone} any evening", "our number has changed to {phone}, sorry", "my number: {phone}", "Text me, {phone}, about the flat", "Telefon {phone}", "llama al {phone}", "Rufen Sie {phone} an", "whatsapp {phone} for a price", "Selling two bikes ({phone}).", "It says {phone} on the van", "{phone} is the landline, the cell is off", "{phone}, call any time", "{phone} is my number now", "Need a plumber? {phone}.", "dial {phone} if the door is shut", "mobile {phone}",
-    "My {id_number} leaked last year", "I lost my {id_number}.", "the clerk wrote down {id_number} twice", "Should I give them my {id_number}?", "his {id_number} is on the photo", "The form asks for {id_number}, why?", "{id_number}", "They printed {id_number} on the cover",
-    "Our office is at {address}", "{address}", "She moved to {address} in spring.", "Deliver to {address}, please.", "address: {address}", "The bakery is at {address}!", "Meet me at {address} on Friday.", "Fire at {address} again", "Your parcel went to {address}", "{address} has been empty for years.", "we live at {address}, come in",
-    "I spoke to {name} yesterday", "{name}", "Yours, {name}", "With love from {name}", "The novel by {name} sold out", "My neighbour {name} sings", "{name} was elected.", "{name} and I went fishing", "Is {name} still the coach?", "I am {name}, nice to meet you", "Nobody told {name} about dinner", "Thanks {name}, that helped", "Dear {name}, the river froze.", "@{name} no idea", "A letter for {name} arrived", "We all miss {name}!", "Dr {name} called back", "That photo of {name} made me cry", "Hi, {name} speaking", "Gruß an {name} aus Wien", "{name}: what a goal", "it was {name} on drums", "{name} asked for more salt", "I voted for {name}.",
-]
-_NEGATIVE = [
-    "Article {d3}-{d3}-{d4} is sold out.", "Our invoice {d4}-{d3}-{d3} was paid", "Order {d3}-{d3}-{d2} came broken", "Update {d1}.{d2}.{d3} is out", "Patients {d3} {d3} {d3} on three days.", "Ticket {d10} is closed.", "Born 19{d2}-0{d1}-1{d1}, house {d3}.", "Version {d3}-{d2}-{d4} of the app", "Ticket number {d10} won nothing", "Serial AB-{d6} of the mower", "Serial {d3}-{d2}-{d4} is on the back", "We lost {d1}-{d2} in {d3} minutes", "Film at ISO {d3}, 1/{d3} s, {d2}mm.", "A screen of {d3}x{d3} dots, {d2} fps.", "Take {d1}, {d2} or {d3} of them", "Room {d3}, floor {d1}, {d2} degrees.", "At {d2}:{d2} the train had {d2} seats.", "Page {d2} has a misprint", "The code has {d2} digits.", "Tracking {d10} says lost", "Build {d8} fails", "Page {d6} is blank", "Item {d8} was returned", "Population {d3} {d3} {d3} by now",
-    "Find me as @{handle} there.", "Dinner at {d2}:{d2}@home today.", "Draw it dot by dot at {d2}:{d2}.", "Read it at shops.example now", "{handle}", "{handle}{d4}", "guest {d1}", "MC {d4}", "Stand in lane {d1} of the pool.", "Chapter {d1} Road Safety bored me.", "Row {d1} Street Food at {d2}:{d2} was full.", "{d2} minutes down the road he stopped.", "They carried {d2} chairs down the street.",
-    "{given} {ordinary} it again.", "{Given} {ordinary} the whole {word}", "I hope {given} {ordinary} soon", "May {Given} {ordinary} well.", "Will {Given} {ordinary} tomorrow?", "may {given} {ordinary} you", "{Given} {ordinary}", "{given} {ordinary} {ordinary}", "Then {Given} {ordinary} and left", "{Given} {ordinary}, I {ordinary}", "ask {given} {ordinary}", "the {ordinary} {ordinary} of {given} {ordinary}", "{ordinary} {ordinary} {ordinary} {ordinary}", "{Ordinary} {ordinary} the {ordinary}, {ordinary} {ordinary}", "Some {ordinary} {ordinary} {ordinary} it", "{ordinary} {ordinary} by {ordinary} {ordinary}",
-    "{Adjective} {Word}", "{Adjective} {Word} {d2}", "{Adjective} {Ordinary}", "{Ordinary} {Word}", "{Ordinary} {Ordinary} {Word}", "{Given} {Word} TV", "{Given} {Ordinary} Channel", "The {Word} Club", "The {Ordinary} {Word} Show", "{Adjective} {Word} Weekly", "{given}", "{Given}", "{Given} P.", "Liebe {Given} P.", "{Given} {d2}", "Captain {Word}", "Professor {Word}", "{Made} {Word}", "{Made} {Made} is a new app", "I use {Made} {Word} now", "my {made} {word} broke", "the {made} {ordinary} {word}", "we moved to {Made} {Word} in May", "this {adjective} {word}", "nothing here {ordinary}", "many thanks to everybody {ordinary} tonight", "It is {ordinary} {word}, {ordinary} {adjective}", "{Made} {made} {made}, {made} {ordinary}.", "{made} {made} {made} {made} {made}.", "{ordinary} {made} {made} {ordinary}", "{Made} {made}", "{Made} {Made}", "{ordinary} {ordinary} than {made}", "{Adjective} {Made}", "{Ordinary} {made}", "by {adjective} {word}", "He went from {Made} {Word} to {Made}", "Does {Made} {Ordinary} run on it?", "She sells {Made} {Word}", "The {Ordinary} {Word} opens in {Made} {Ordinary}", "{Made} {Word}", "Part {d1} {Ordinary} {Made} is long", "with {made} {ordinary}",
-    "Der Zug nach Hamburg fährt heute leider nicht mehr, sagen Sie das bitte den Kindern.", "Können wir das Bild morgen früh noch einmal ansehen?", "Über den Wolken lacht meine alte Nachbarin, danke schön.", "Je ne sais pas si la maison de ma tante est encore ouverte ce soir.", "Merci beaucoup, quelle belle journée pour aller au marché.", "No creo que mañana podamos ir después de comer, la tienda está cerrada.", "Qué bonito día, muchas gracias por todo amigos.", "Non so se domani il treno arriva prima di mezzogiorno, grazie mille.", "Obrigado pela ajuda, amanhã vamos todos para a praia comer peixe.", "Dziękuję bardzo, jutro rano pójdziemy razem nad rzekę.", "Спасибо большое, завтра утром мы пойдём вместе на реку.", "Tack så mycket, i morgon går vi tillsammans till sjön.", "Dank je wel, morgen gaan we samen naar het strand.", "Çok teşekkürler, yarın sabah birlikte denize gideriz.", "thanks {given}, the {word} works", "{Given}, {Given} and {Given} came",
-]
-_CONTEXT = ["", "", "", "So it goes.", "It rained all day.", "I never saw that before.", "Who would have known?", "Our dog slept through it.", "Can we have another?"]
-#: Frequent given names of many languages, beside the list that is given; those that are also common words train only.
-GIVEN = frozenset(
-    "james john robert michael william david richard joseph thomas charles daniel matthew anthony steven andrew kevin brian george edward ronald timothy jason jeffrey ryan jacob nicholas eric jonathan stephen larry justin scott brandon benjamin samuel gregory alexander patrick "
-    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy sandra ashley emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen sharon cynthia kathleen amy angela anna ruth brenda pamela nicole katherine samantha christine emma catherine virginia rachel janet maria heather diane olivia julie victoria kelly lauren "
-    "hans peter wolfgang klaus jürgen dieter uwe stefan andreas jens lukas jonas felix maximilian ursula monika petra sabine renate heike katrin anja lena hannah pierre jean michel philippe nicolas julien camille chloé manon léa élodie juan carlos josé luis javier miguel antonio alejandro carmen lucía marta elena isabel giuseppe giovanni marco luca andrea francesca giulia chiara "
-    "joão pedro tiago rafael beatriz inês piotr tomasz krzysztof marek agnieszka magdalena katarzyna jan tomáš jiří eva jana ivan dmitri sergei nikolai olga tatiana natalia svetlana lars erik anders johan karl astrid freja sofie mikko juha aino mehmet mustafa ahmet ayşe fatma ali omar hassan mohammed ibrahim layla aisha fatima "
-    "raj rahul amit sanjay anita sunita deepa wei ming jing hiroshi takashi yuki kenta akiko haruto minho jiwoo nguyen kwame kofi ama chidi ngozi amina thabo sipho"
-    .split()
-)
-_GIVEN = [*sorted(GIVEN), *"ana ben clara fiona georg helga julia nina oscar paul rita simon tessa ugo viola walter xenia yann zora alma bruce chen elif farah goran hiro ines jamal naomi sofia tariq uma victor wanda grace frank will joy dawn jack hope mark may rose bill".split()]
-#: Family names of many languages; half of the names in training sentences are instead put together from syllables.
-_FAMILIES = (
-    "smith jones taylor brown evans roberts walker wright hughes green hall clarke turner hill moore cooper ward morris king baker harrison allen scott phillips parker bennett murphy kelly byrne doyle mcdonald campbell reid fraser "
-    "müller schmidt weber wagner becker hoffmann koch richter klein wolf schröder neumann braun zimmermann krüger hartmann lange werner krause lehmann huber maier fuchs de-vries jansen bakker visser smit meijer mulder bos vos peters dekker "
-    "martin bernard dubois thomas robert petit durand leroy moreau laurent lefebvre garnier faure rousseau blanc garcía rodríguez lopez martinez sanchez perez gomez fernandez ruiz diaz moreno muñoz romero navarro torres ramos gil vega silva santos oliveira pereira costa rocha almeida nunes "
-    "rossi russo ferrari bianchi romano gallo conti greco bruno marino rizzo lombardi nowak kowalczyk wójcik kamiński lewandowski zieliński mazur krawczyk novak svoboda dvořák černý horvat kovačević babić nagy kovács tóth szabó varga popescu ionescu dumitru petrov dimitrov ivanov smirnov kuznetsov popov sokolov melnyk shevchenko bondarenko "
-    "andersson johansson karlsson nilsson lindberg hansen olsen larsen berg haugen jensen nielsen korhonen virtanen mäkinen kazlauskas ozols tamm papadakis nikolaidis georgiou yılmaz kaya demir çelik şahin arslan haddad khoury mansour saleh rahman hussain ahmed malik qureshi karimi hosseini cohen levy mizrahi "
-    "singh sharma gupta verma mehta reddy iyer nair das banerjee mukherjee patil perera silwal thapa wang li zhang liu huang zhao wu zhou lin tan kim park choi jung kang sato suzuki watanabe ito yamamoto nakamura kobayashi tran le pham hoang bui santoso wijaya reyes bautista mensah boateng owusu adeyemi okoye eze balogun mwangi otieno kamau dlamini nkosi ndlovu diallo traoré keita bekele tesfaye"
-).split()
-_ONSETS = "b c d f g h j k l m n p r s t v w z br ch cr dr fl gr kr pl sh sk st th tr zh".split()
-_NUCLEI = "a a e e i o u ai ea ie ou y".split()
-_CODAS = ["", "", "", "", "l", "m", "n", "r", "s", "t", "k", "d", "z", "nd", "rt", "ck", "x"]
-_USERS = "mail hello office desk shop sky blue fox river stone maple north penny rocket juniper".split()
-_PLACES = "Fairview Northgate Elmbrook Larkspur Hawthorn Kestrel Marlow Quillon Rowan Sandling".split()
-_TOWNS = ["Newbay", "Port Ellis", "Westmere", "Oldbrook", "Saint-Meran", "Castle Dene", "Lunaville"]
-_WORDS = "bicycle window candle planet valley needle camera dragon badger clover orchard engine pillow winter poem guitar coffee island wagon mirror".split()
-_ADJECTIVES = "bitter silent brave golden silver dusty wooden empty modern simple purple clever gentle angry crazy rapid".split()
-
-
-def _digits(rng: random.Random, n: int, first: str = "0123456789") -> str:
-    return rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
-
-
-def _made_up(rng: random.Random) -> str:
-    """A word of one to four syllables in no list."""
-    return "".join(rng.choice(_ONSETS) + rng.choice(_NUCLEI) + rng.choice(_CODAS) for _ in range(rng.choice([1, 2, 2, 2, 3, 3, 4])))
-
-
-def _fill(kind: str, rng: random.Random) -> str:
-    d = functools.partial(_digits, rng)
-    family = lambda: rng.choice(_FAMILIES).title() if rng.random() < 0.5 else _made_up(rng).title()
-    place, town = rng.choice(_PLACES), rng.choice(_TOWNS)
-    if kind == "name":
-        given = rng.choice(_GIVEN).title()
-        middle = rng.choice(["", "", "", f" {rng.choice('ABCDEKRST')}.", " van"])
-        return f"{given}{middle} {family()}" + (f"-{family()}" if rng.random() < 0.1 else "")
-    if kind == "email":
-        user = rng.choice(_GIVEN) + rng.choice([".", "_", "-", ""]) + rng.choice(_USERS) + rng.choice(["", d(2), "+tube"])
-        host = rng.choice(["mail.example", "example.com", "post.example.org", "inbox.test"])
-        at = rng.choice(["@", "@", "@", " @ ", "(at)", " (at) ", " [at] ", " at "])
-        return user + at + (host.replace(".", " dot ") if at == " at " else host.replace(".", rng.choice([".", " [dot] "])) if "[" in at else host)
-    if kind == "phone":
-        n3, x3, x4 = d(3, "23456789"), d(3, "23456789"), d(4)
-        return rng.choice([f"({n3}) {x3}-{x4}", f"{n3}.{x3}.{x4}", f"{n3}-{x3}-{x4}", f"+1 {n3} {x3} {x4}", f"1-{n3}-{x3}-{x4} ext. {d(2)}", f"{n3}{x3}{x4}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"01.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"+44 7{d(3)} {d(6)}", f"07{d(3)} {d(3)} {d(3)}", f"+49 30 {d(5)} {d(3)}", f"0049-30-{d(8)}", f"(0{d(1)}) {d(4)} {d(4)}", f"08-{d(3)} {d(3)} {d(2)}", f"+34 6{d(2)} {d(3)} {d(3)}", " ".join(rng.choice(sorted(NUMBER_WORDS - {"double", "triple", "oh"})) for _ in range(10))])
-    if kind == "address":
-        n = str(rng.randint(1, 900))
-        post = d(5)
-        return rng.choice([f"{n} {place} {rng.choice(['Street', 'St.', 'Road', 'Lane', 'Crescent', 'Drive'])}" + rng.choice(["", f", {town}"]), f"{n}, {place} Crescent", f"{n} {rng.choice(['North', 'West'])} {place} Avenue, {town} {post}", f"{n}{rng.choice('abc')} {place} Mews", f"flat {n[:2]}, {n} {place} road, {town}", f"Building {n[:2]}, {place} Court, {town}", f"{n} rue des {place}s, {town}", f"Calle {place} {n}, 2o B, {town}", f"Plaza {place}, {n}, {post} {town}", f"{place}weg {n}, {post} {town}", f"Am {place}hang {n}, {town}", f"{place}straße {n}"])
-    raise ValueError(kind)
-
-
-def _identity(rng: random.Random) -> tuple[str, str]:
-    """A phrase with an identity number, and the number."""
-    d = functools.partial(_digits, rng)
-    number = rng.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}"])
-    forms = [
-        (f"SSN {number}", number), (f"social security number {number}", number), (f"social, which is {number},", number), ((n := d(9)) + " (SSN)", n), ("DNI " + (n := f"{d(8)}-{rng.choice('ABKLMU')}"), n), ("PESEL " + (n := d(11)), n),
-        ("insurance number " + (n := f"QQ {d(2)} {d(2)} {d(2)} C"), n), ("numéro de sécu " + (n := f"{d(1)} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}"), n), ("national ID: " + (n := f"{d(8)}-{d(4)}"), n), ("tax id " + (n := f"{d(2)}-{d(7)}"), n),
-        ("driver licence " + (n := f"ZZ{d(3)}-{d(4)}-{d(3)}"), n), (f"identity card ({(n := f'OO {d(4)} {d(3)}')})", n), ("Ausweisnummer " + (n := f"LOU{d(6)}"), n), ("passport no. " + (n := f"{d(2)}X{d(6)}"), n), ("passport " + (n := f"{rng.choice('CXK')}{d(8)}"), n),
-    ]
-    return rng.choice(forms)
-
-
-def training_sentences(count: int = 6_000, seed: int = 11) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """Composed sentences with the spans in them."""
-    rng = random.Random(seed)
-    for k in range(count):
-        positive = k % 5 < 3
-        template = rng.choice(_POSITIVE if positive else _NEGATIVE)
-        gold: list[tuple[int, int, str]] = []
-        lead = rng.choice(_CONTEXT) if len(template) > 12 else ""
-        text = lead + " " if lead else ""
-        at = 0
-        for m in _SLOT.finditer(template):
-            text += template[at : m.start()]
-            slot, at = m[1], m.end()
-            if slot == "id_number":
-                phrase, number = _identity(rng)
-                where = len(text) + phrase.index(number)
-                gold.append((where, where + len(number), slot))
-                text += phrase
-            elif slot in KINDS:
-                value = _fill(slot, rng)
-                gold.append((len(text), len(text) + len(value), slot))
-                text += value
-            elif slot[0] == "d" and slot[1:].isdigit():
-                text += _digits(rng, int(slot[1:]))
+            count = lambda name: s[name][last + 1] - s[name][begin]  # noqa: B023, E731
+            if kind == "email":
+                held = m["email_last"][last] & (count("at") > 0) & (count("dot") > 0)
+            elif kind in ("phone", "id_number"):
+                units = count("units")
+                held = m["number_last"][last] & (units >= 5) & (units <= 22)
+            elif kind == "address":
+                held = m["address_last"][last] & (count("house") + count("number") > 0) & (count("word") > 0) & (count("digit_run") <= 5)
             else:
-                word = {"given": rng.choice(_GIVEN), "handle": rng.choice(_GIVEN) + rng.choice(["_", "", "."]) + rng.choice(_WORDS), "word": rng.choice(_WORDS), "adjective": rng.choice(_ADJECTIVES), "ordinary": rng.choice(_ORDINARY), "made": _made_up(rng)}[slot.lower()]
-                text += word.title() if slot[0].isupper() else word
-        text += template[at:]
-        if len(template) > 12 and rng.random() < 0.4 and (end := rng.choice(_CONTEXT)):
-            text += rng.choice([" ", ". "] if text[-1].isalnum() else [" "]) + end
-        change = rng.random()
-        yield (text.lower() if change < 0.12 else text.upper() if change < 0.2 and "straße" not in text else text), gold
-
-
-@functools.lru_cache(maxsize=4)
-def fit(epochs: int = 6, rate: float = 0.5, l2: float = 1e-4, seed: int = 3) -> dict[str, float]:
-    """Weights by stochastic gradient steps of the conditional likelihood, with a rate for each coordinate."""
-    rng = random.Random(seed)
-    given = frozenset(_GIVEN)
-    # some given names and ordinary words are left off the lists, as they will be in the data
-    lists = [frozenset(g for g in given if rng.random() < 0.8) for _ in range(20)]
-    commons = [frozenset(w for w in sorted(COMMON) if rng.random() < 0.7) for _ in range(20)]
-    data = []
-    for text, gold in training_sentences():
-        # which endings are usual is known from other texts: for most family names, and for few other words
-        words = [text[a:b].split()[-1] for a, b, kind in gold if kind == "name" and rng.random() < 0.6] + [w for w in _WORD_RX.findall(text) if rng.random() < 0.01]
-        spans = candidates(text, rng.choice(lists), rng.choice(commons), frozenset(w[-ENDING:].lower() for w in words))
-        found = {(s.start, s.end, s.kind) for s in spans}
-        data.append((spans, {g for g in gold if g in found}))
-    weights: dict[str, float] = {}
-    squares: dict[str, float] = {}
-    for _ in range(epochs):
-        rng.shuffle(data)
-        for spans, gold in data:
-            if not spans:
+                held = m["word"][last] & (count("word") > 1) & (count("spaced_letters") > self.spaced[begin])
+            if held.any():
+                out.append((begin[held], last[held], rolled[held]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def features(self, kind: str, i: np.ndarray, j: np.ndarray, shape: np.ndarray) -> list[np.ndarray]:
+        """Codes of the features of the spans, one array for each template."""
+        s, c = self.sums, self.col
+        count = lambda name: s[name][j + 1] - s[name][i]
+        near = lambda name, w: np.minimum(s[name][i] - s[name][np.maximum(i - w, 0)], 1)
+        ahead = lambda name, w: np.minimum(s[name][np.minimum(j + 1 + w, self.n)] - s[name][j + 1], 1)
+        few = lambda x, k: np.minimum(x, k)
+        ends = self.runs_on_left[i] * 2 + self.runs_on_right[j]
+        alone = (self.before[i] == 1) * 2 + (self.after[j] == 1)
+        size = few(j - i, 20)
+        if kind == "email":
+            style = few(count("sign ."), 1) * 2 + few(count("paren"), 1)
+            return [size * 0, style, shape, ends, ends * 4 + style, few(count("at"), 3) * 8 + few(count("dot"), 5), few(count("spaced") - self.spaced[i], 4), self.before[i], c["known"][i], c["known"][i] * 8 + few(count("spaced") - self.spaced[i], 4), alone, few(count("digit_run"), 3)]
+        if kind in ("phone", "id_number"):
+            digits = few(count("units"), 22)
+            first = np.where(self.masks["digits"][i], 1 + c["sign"][i], np.where(self.masks["letters"][i], 5, 6 + c["sign"][i]))
+            joins = sum(few(count(f"sign {x}"), 1) << k for k, x in enumerate("+-./")) + few(count("paren"), 1) * 16 + few(count("spaced") - self.spaced[i], 1) * 32
+            open_ = (count("paren") != count("close")) * 1
+            words = few(count("number"), 9)
+            letters = few(count("letters"), 4)
+            cue = near("phone_cue", 4) + 2 * near("id_cue", 5) + 4 * near("code_cue", 4)
+            closest = near("phone_cue", 2) + 2 * near("id_cue", 2) + 4 * near("code_cue", 2)
+            later = ahead("phone_cue", 2) + 2 * ahead("id_cue", 2) + 4 * ahead("code_cue", 2)
+            groups = few(count("digit_run"), 8)
+            touching = (self.before[i] == 2) * 2 + (self.after[j] == 2)
+            numbers = (words > 0) * 1
+            return [size * 0, shape, digits * 32 + first, digits * 16 + groups, joins * 32 + digits, first * 64 + joins, ends, touching * 4 + ends, open_, letters * 32 + digits, cue, closest, later, cue * 32 + digits, cue * 64 + later * 8 + closest, self.before[i] * 2 + numbers, self.after[j], words * 16 + few(digits, 15), c["type"][j] * 8 + letters, alone, alone * 32 + digits, cue * 64 + first, few(count("extension"), 1) * 2 + (letters > 0), shape * np.uint64(8) + cue.astype(np.uint64)]
+        if kind == "address":
+            words, low = few(count("word"), 8), few(count("low"), 5)
+            street, prefix, unit = few(count("street"), 2), few(count("prefix"), 1), few(count("unit"), 2)
+            base = street * 4 + prefix * 2 + (unit > 0)
+            first, last = c["word_shape"][i], c["word_shape"][j]
+            before_street = np.where(street > 0, 1, 0) * (s["street"][j + 1] > s["street"][j])
+            mood = self.mood[i]
+            commons, news = few(count("common"), 4), few(count("new"), 5)
+            commas = few(count("comma"), 3)
+            onward = c["word_shape"][np.minimum(j + 1, self.n - 1)] * 2 + self.next_spaced[j]
+            cue, code = near("place_cue", 3), near("code_cue", 2)
+            runs = few(count("digit_run"), 4)
+            return [size * 0, shape, base * 8 + words, base * 64 + first, base * 64 + last, (base * 8 + low) * 3 + mood, (base * 8 + commons) * 3 + mood, (base * 8 + news), base * 4 + commas, first * 64 + last, ends, onward * 3 + base.clip(0, 2), onward * 4 + commas, self.before[i] * 32 + base, cue * 32 + base, code * 32 + base, few(c["length"][i], 7) * 32 + base, runs * 32 + base, before_street * 2 + cue, alone * 32 + base, (commas * 64 + last) * 3 + mood, few(count("region"), 2) * 8 + commas, c["known"][j] * 16 + commas * 4 + c["case"][j], (c["known"][j] * 8 + c["case"][j]) * 8 + c["known"][np.minimum(j + 1, self.n - 1)], first * 4 + c["case"][np.minimum(i + 1, self.n - 1)]]
+        f, g = c["known"][i], c["known"][j]
+        cf, cg, mood = c["case"][i], c["case"][j], self.mood[i]
+        listed = f // 4
+        words = few(count("word"), 5)
+        cases = (cf * 5 + cg) * 3 + mood
+        usual = self.flag("usual")[j] * 2 + self.flag("usual")[i]
+        familiar = self.flag("familiar")[j]
+        cue = near("name_cue", 3) + 2 * near("name_cue", 1)
+        middle = few(count("common") - self.flag("common")[i] - self.flag("common")[j], 2)
+        roles = self.flag("street")[j] + 2 * self.flag("unit")[j] + 4 * self.flag("title")[i] + 8 * self.flag("particle")[j] + 16 * self.flag("number")[i] + 32 * self.flag("region")[j]
+        context = self.before[i] * 64 + self.after[j]
+        return [words, f, g, f * 8 + g, (f * 8 + g) * 80 + cases, cases, shape, c["end1"][j] * 2 + listed, c["end2"][j] * 2 + listed, c["end3"][j] * 2 + listed, c["end2"][i] * 2 + listed, (usual * 8 + f) * 80 + cases, (usual * 8 + f) * 8 + g, self.before[i] * 8 + f, self.after[j] * 8 + g, self.after[j] * 8 + f, cue * 64 + f * 8 + g, cue * 80 + cases, c["length"][j] * 8 + g, middle * 8 + words, ends, alone * 64 + f * 8 + g, (alone * 80 + cases) * 8 + f, (self.before[i] * 5 + c["case"][np.maximum(i - 1, 0)]) * 8 + f, ((self.after[j] * 5 + c["case"][np.minimum(j + 1, self.n - 1)]) * 8 + g) * 3 + mood, roles * 8 + f, context, words * 64 + f * 8 + g, c["length"][i] * 8 + f, few(count("usual"), 2) * 16 + cue * 4 + alone, familiar * 64 + f * 8 + g, familiar * 80 + cases]
+
+    def placed(self, kind: str, codes: list[np.ndarray]) -> list[np.ndarray]:
+        """Places of the features in the weight table."""
+        number = KINDS.index(kind) * 64
+        shift = np.uint64(64 - BITS)
+        return [((code.astype(np.uint64) * np.uint64(512) + np.uint64(number + k)) * _MIX >> shift).astype(np.int32) for k, code in enumerate(codes)]
+
+
+def scored(batch: Batch, model: Model, block: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First token, last token, kind from 1 and score of every span that the best reading may hold."""
+    follow = model.follow
+    gain = [(follow[:, k] - follow[:, 0]).max() + (follow[k, :] - follow[0, :]).max() for k in range(len(KINDS) + 1)]
+    out: list[tuple[np.ndarray, ...]] = []
+    for low in range(0, batch.n, block):
+        for k, kind in enumerate(KINDS, 1):
+            i, j, shape = batch.spans(kind, low, min(batch.n, low + block))
+            if not len(i):
                 continue
-            chances = _expected(spans, [sum(weights.get(f, 0.0) for f in s.features) for s in spans])
-            gradient: dict[str, float] = {}
-            for s, chance in zip(spans, chances, strict=True):
-                off = ((s.start, s.end, s.kind) in gold) - chance
-                if abs(off) > 1e-4:
-                    for f in s.features:
-                        gradient[f] = gradient.get(f, 0.0) + off
-            for f, g in gradient.items():
-                g -= l2 * weights.get(f, 0.0)
-                squares[f] = squares.get(f, 1e-2) + g * g
-                weights[f] = weights.get(f, 0.0) + rate * g / math.sqrt(squares[f])
-    return weights
-
-
-# Frequent words that are hardly ever family names.
-_ORDINARY = (
-    "ability able accept across act action actually add afraid age ago agree air almost alone along already although always among amount angry animal answer appear apply area argue arm army arrive art asleep attack aunt autumn away baby bad bag ball bank bar base basic bath bear beat beautiful because become bed began begin behind believe below beside better between beyond bird birth bit bite bless blood blow board boat body boil bone book born borrow bottle bottom bought bowl box boy brain branch bread break breakfast breathe bridge bright bring broke brother brought brush build burn bus busy butter buy cake calls camp car card care careful carry case catch caught cause cell center certain chair chance change cheap check cheese child children choice choose church circle city class clean clearly climb clock close clothes cloud cold collect color comes coming company compare complete computer control cool copy corner correct cost count country couple course cover crazy cried cross crowd cry cup current cut daily damage dance danger dark data date daughter dead deal dear death decide deep degree depend describe design desk detail died different difficult dinner direction dirty discover discuss doctor dog dollar done door doubt down dream dress drink drive drop dry during dust duty ear earth easily easy eat edge edit effect effort egg either else empty end energy engine enjoy enough enter entire equal escape especially even event ever exactly example excellent except excited exist expect expensive experience explain eye face fact fail fair fall false familiar famous far farm fast fat father fear feed feeling feet felt few field fight figure fill film final find fine finger finish fire fish fit five fix flat flew floor flower fly follow food foot force foreign forest forget form forward found free fresh friend front fruit full fun funny future game garden gave general gentle girl glad glass goal goes gone got grass gray great group grow guess guide gun hair half happen happy hard hardly hat hate head health hear heard heart heat heavy held hello help helped hide high himself history hit hold hole holiday home honest hope horse hospital hot hotel hour however huge human hundred hungry hurry hurt husband ice idea ill imagine important improve include indeed inside instead interest iron island itself job join joke jump keep kept key kick kill kind kitchen knee knew knife knock lady lake land language large last late laugh law lay lazy lead leaf learn least leave led left leg less let letter level lie life lift likes line lion list listen little lived lock long looked looking looks lose loss lost lot loud low luck lunch machine main manage map market matter maybe meal mean measure meat medicine meet member mentioned met middle might mile milk mind mine miss mistake mix modern moment money month moon mother mountain mouth move moved movie moving music myself near nearly neck need needs neighbor nerve news newspaper noise none north nose note notice number ocean off offer office often oil okay older once open opinion order ordinary outside oven owner page paid pain paint pair paper parent park party pass past path pay peace pen pencil people perfect perhaps phone photo pick picture piece place plain plan plane plant plate played player playing plays pleasant pocket point police polite poor popular position possible post pot pound power practice prepare present press pretty price print prize probably problem produce program promise proper protect proud prove public pull push put quality queen question quick quickly quiet quite race radio rain raise ran reach read ready real reason receive record red refuse remember remove rent repair repeat rest result return rich ride right ring rise river road rock roof room round rule run sad safe sail sale salt sand sat save saw says school science sea search season seat second secret seem seems seen sell sense sent separate serious serve set several shade shake shape share sharp sheet ship shirt shoe shop short shoulder shout shut sick side sign silver similar simple since sing single sister sit six size skill skin sky sleep slept slide slow slowly smell smile smoke smooth snow soap society soft sold soldier solve sometimes son song soon sorry sort soul soup south space speak special speed spell spend spoke spoon sport spot spread spring square stage stair stand star start started stay steal steam step stick still stole stone stood stop store storm story straight strange street strong student study stupid sudden suddenly suffer sugar suit sun sunny support suppose sure surface surprise sweet swim system table talk talked tall taste taught tea teach team tear teeth telling tells test thick thin thing thinks third thirty thousand throat through throw ticket tie tight till tired together told tonight took tool top total touch toward town toy trade train travel tree tried trip trouble true trust truth try turn turned twice type ugly uncle understand unit until upon use used useful usual usually valley value various view village visit voice wait wake walk walked wall want wanted wants war warm wash waste watch watched water wave weak wear weather wedding week weight welcome went west wet wheel whether while white whole wide wife wild win wind window wine wing winter wire wise wish within without woke woman wonder wood word world worry worse worst wrong wrote yard yell yellow yesterday yet young"
-).split()
-COMMON = frozenset(_ORDINARY) | frozenset(
-    "the a an and or but not no yes of in on at to from by for with about after before over under this that these those it its is are was were be been being has have had do does did can could will would should may might must "
-    "i you he she we they me him her us them my your his our their who what which when where why how more most much many some any all both each every other another same such only own too very just now then here there "
-    "never always still again please thanks thank love best great good nice big small old new first last next one two three four five six seven eight nine ten part parts video channel upload second minutes week month year day night morning "
-    "work works worked working sound audio light intro ending section chapter show see look make made take get got give go come like feel try tried think thought know say said call send write is another finally such learned uploaded waiting "
-    "something nothing anything everyone someone nobody person season lesson version mention question edition recording tomorrow morning evening setting worth tackle lovely early only family reply really button cotton carton person reason poison "
-    "der die das und ein eine für mit von den dem ist nicht auch noch mein meine le la les un une des et est pas pour que qui el los las una y es no por para con del mi muy tube tv daily club desk film "
-    "sie den über ich er es wir ihr du bei aus nach zum zur im am vom dass wenn aber oder wie was wer schon nur sehr mehr kann können muss müssen soll hat haben sein sind war wird werden einen einem einer eines kein keine diese dieser dieses endlich schön schöner schöne schönes gut hier jetzt immer "
-    "je tu il elle nous vous ils mon ma mes ton sur dans avec plus très mais ou où du au aux ne sont été ce cette c'est j'ai fait quel quelle me te se lo su pero más después antes como cuando este esta todo ya sin sobre gli che non di sono del della molto o os as um uma em não do da mais muito het een en niet voor op zijn".split()
-)
+            score = np.zeros(len(i))
+            for place in batch.placed(kind, batch.features(kind, i, j, shape)):
+                score += model.weights[place]
+            held = score + gain[k] > 0
+            out.append((i[held], j[held], np.full(int(held.sum()), k), score[held]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def decode(spans: list[tuple[int, int, int, float]], follow: np.ndarray, end: int) -> list[tuple[int, int, int]]:
+    """The best reading: disjoint spans (first, last, kind) of greatest sum of scores and of scores of what follows what.
+
+    spans: (first token, last token, kind, score); tokens outside spans score 0. ``end``: the place after the last token.
+    """
+    points = sorted({p for a, b, _, _ in spans for p in (a, b + 1)})
+    ending: dict[int, list[int]] = {}
+    for n, (_, b, _, _) in enumerate(spans):
+        ending.setdefault(b + 1, []).append(n)
+    # best[p][k]: the best reading up to p that ends in kind k, and its last span
+    best: dict[int, dict[int, tuple[float, int | None, int]]] = {}
+    outside: tuple[float, int | None, int] = (0.0, None, 0)
+    for n_point, p in enumerate(points):
+        here: dict[int, tuple[float, int | None, int]] = {0: outside}
+        for n in ending.get(p, ()):
+            a, _, k, score = spans[n]
+            value, back = max(((v[0] + follow[prev, k], prev) for prev, v in best[a].items()), key=lambda x: x[0])
+            total = value + score
+            if k not in here or total > here[k][0]:
+                here[k] = (total, n, back)
+        best[p] = here
+        if n_point + 1 < len(points):
+            # at least one token outside leads on, unless a span begins here
+            top = max(here.items(), key=lambda x: x[1][0] + (follow[x[0], 0] if x[0] else 0.0))
+            outside = (top[1][0] + (follow[top[0], 0] if top[0] else 0.0), None, p * 8 + top[0])
+    last = max(best[points[-1]].items(), key=lambda x: x[1][0] + (follow[x[0], 0] if x[0] and points[-1] < end else 0.0))
+    out, p, k = [], points[-1], last[0]
+    while True:
+        _, n, back = best[p][k]
+        if k:
+            a, b, kind, _ = spans[n]
+            out.append((a, b, kind))
+            p, k = a, back
+        elif back == 0 and p == points[0]:
+            return out[::-1]
+        else:
+            p, k = divmod(back, 8)
 
 
 class Finder:
-    def __init__(self, given: Iterable[str], weights: dict[str, float], endings: Iterable[str] = ()):
-        self.endings = frozenset(endings)
-        self.given, self.weights = GIVEN.union(w.lower() for w in given if w), weights
-        self.short = functools.lru_cache(maxsize=50_000)(self._find)
-
-    def _find(self, text: str) -> tuple[tuple[int, int, str], ...]:
-        plain, places = fold(text)
-        spans = decode(candidates(plain, self.given, COMMON, self.endings), self.weights)
-        if places is None:
-            return tuple((s.start, s.end, s.kind) for s in spans)
-        return tuple((places[s.start], places[s.end - 1] + 1, s.kind) for s in spans)
-
-    def find(self, text: str | None) -> tuple[tuple[int, int, str], ...]:
-        """(start, end, kind) of each span of the text as stored."""
-        if not text:
-            return ()
-        return self.short(text) if len(text) <= 60 else self._find(text)
+    """Finds spans in texts; keeps the rows of the tokens that it met."""
+
+    def __init__(self, given: Iterable[str], model: Model, endings: Iterable[str] = (), common: Iterable[str] = (), familiar: Iterable[str] = (), vocabulary: str = VOCABULARY):
+        self.lists = Lists(W.GIVEN.union(w.lower() for w in given if w), W.COMMON.union(common), frozenset(endings), frozenset(familiar), *frequent_words(vocabulary))
+        self.model = model
+        self.rows = _Rows(self.lists)
+
+    def find_all(self, texts: list[str | None], most: int = 300_000) -> list[tuple[Span, ...]]:
+        """The spans of each text as stored; texts are read together up to ``most`` characters."""
+        out: list[tuple[Span, ...]] = [()] * len(texts)
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars < most):
+                chars += len(texts[end] or "")
+                end += 1
+            picked = [k for k in range(at, end) if texts[k]]
+            self._find(texts, picked, out)
+            at = end
+        return out
+
+    def _find(self, texts: list[str | None], picked: list[int], out: list[tuple[Span, ...]]) -> None:
+        if not picked:
+            return
+        if len(self.rows) > 500_000:
+            self.rows = _Rows(self.lists)
+        folded = [fold(texts[k]) for k in picked]
+        batch = Batch([f for f, _ in folded], self.rows)
+        i, j, kind, score = scored(batch, self.model)
+        if not len(i):
+            return
+        owner = batch.text_of[i]
+        order = np.lexsort((j, i, owner))
+        i, j, kind, score, owner = (x[order] for x in (i, j, kind, score, owner))
+        bounds = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        first, stop = batch.start, batch.start + batch.length
+        for a, b in zip(bounds, [*bounds[1:], len(i)], strict=True):
+            found = decode(list(zip(i[a:b].tolist(), j[a:b].tolist(), kind[a:b].tolist(), score[a:b].tolist(), strict=True)), self.model.follow, int(batch.stop[owner[a]]))
+            if not found:
+                continue
+            k = int(owner[a])
+            origin, places = int(batch.origin[k]), folded[k][1]
+            spans = [(int(first[x]) - origin, int(stop[y]) - origin, KINDS[n - 1]) for x, y, n in found]
+            if places is not None:
+                spans = [(places[x], places[y - 1] + 1, n) for x, y, n in spans]
+            out[picked[k]] = tuple(Span(*x) for x in spans)
+
+    def find(self, text: str | None) -> tuple[Span, ...]:
+        return self.find_all([text])[0]
 
     def redact(self, text: str | None) -> tuple[str | None, list[str]]:
         """The text with placeholders, and the kinds that occur."""
-        spans = self.find(text)
-        if not spans:
-            return text, []
-        out, at = [], 0
-        for start, end, kind in spans:
-            out += [text[at:start], f"<{kind.upper()}>"]
-            at = end
-        return "".join([*out, text[at:]]), sorted({k for _, _, k in spans})
+        return redacted(text, self.find(text))
+
 
+def redacted(text: str | None, spans: Iterable[Span]) -> tuple[str | None, list[str]]:
+    if not spans:
+        return text, []
+    out, at = [], 0
+    for start, end, kind in spans:
+        out += [text[at:start], f"<{kind.upper()}>"]
+        at = end
+    return "".join([*out, text[at:]]), sorted({k for _, _, k in spans})
 
-def family_endings(df: DataFrame, names: list[str], columns: tuple[str, ...]) -> list[str]:
-    """Endings of words that follow a given name at least five times, and in at least two of five of their occurrences.
 
-    Counted over all rows; only the most frequent ``MOST_ENDINGS`` are collected.
+def word_habits(df: DataFrame, names: list[str], columns: tuple[str, ...], vocabulary: str = VOCABULARY) -> tuple[list[str], list[str], list[str]]:
+    """What the texts at hand tell of their words, counted over all rows: endings, common words, familiar words.
+
+    Endings: of words outside the vocabulary that follow a given name at least five times and in at least three of ten of
+    their occurrences. Familiar: words that occur twenty times or more, and seldom after a given name. Common: familiar
+    words that come mostly in small letters. Only the most frequent ``MOST_ENDINGS`` and ``MOST_FREQUENT`` are collected.
     """
     held = df.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = GIVEN.union(w.lower() for w in held.value if w)
+        given = W.GIVEN.union(w.lower() for w in held.value if w)
+        plain = frequent_words(vocabulary)[0] | W.COMMON
+        find = re.compile(r"[^\W\d_]+").findall
         for batch in batches:
-            after: dict[str, int] = {}
-            whole: dict[str, int] = {}
+            counts: dict[str, list[int]] = {}
             for column in batch.columns:
                 for text in column.to_pylist():
-                    previous = ""
-                    for word in _WORD_RX.findall(text.lower()) if text else ():
-                        if len(word) > ENDING and word.isalpha() and word not in COMMON:
-                            end = word[-ENDING:]
-                            whole[end] = whole.get(end, 0) + 1
-                            if previous in given:
-                                after[end] = after.get(end, 0) + 1
-                        previous = word
-            yield pa.RecordBatch.from_pydict({"ending": pa.array(list(whole), pa.string()), "after": pa.array([after.get(e, 0) for e in whole], pa.int64()), "whole": pa.array(list(whole.values()), pa.int64())})
-
-    counts = df.select(*(F.col(c).cast("string") for c in columns)).mapInArrow(run, "ending string, after long, whole long")
-    usual = counts.groupBy("ending").agg(F.sum("after").alias("after"), F.sum("whole").alias("whole")).where((F.col("after") >= 5) & (F.col("after") >= 0.4 * F.col("whole")))
-    return [r[0] for r in usual.orderBy(F.desc("after"), "ending").limit(MOST_ENDINGS).collect()]
-
-
-def redact_columns(df: DataFrame, given_names: DataFrame | None, columns: tuple[str, ...] = ("text", "author"), most_names: int = 200_000) -> DataFrame:
+                    if text:
+                        count_habits(text, find, given, counts)
+            rows = list(counts.values())
+            numbers = {n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(_HABITS)}
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), **numbers, "plain": pa.array([w in plain for w in counts], pa.bool_())})
+
+    schema = "word string, " + "".join(f"{n} long, " for n in _HABITS) + "plain boolean"
+    counts = df.select(*(F.col(c).cast("string") for c in columns)).mapInArrow(run, schema)
+    words = checkpointed(counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in _HABITS), F.max("plain").alias("plain")))
+    ending = words.where((F.length("word") > ENDING) & ~F.col("plain")).groupBy(F.right("word", F.lit(ENDING)).alias("ending")).agg(F.sum("after").alias("after"), F.sum("whole").alias("whole"))
+    usual = ending.where((F.col("after") >= 5) & (F.col("after") >= 0.3 * F.col("whole"))).orderBy(F.desc("after"), "ending").limit(MOST_ENDINGS)
+    familiar = words.where((F.col("whole") >= 20) & (F.col("after") < 0.2 * F.col("whole"))).orderBy(F.desc("whole"), "word").limit(MOST_FREQUENT)
+    rows = familiar.select("word", (F.col("small") >= F.greatest(F.lit(1), 0.5 * F.col("told"))).alias("common")).collect()
+    return [r[0] for r in usual.select("ending").collect()], [r["word"] for r in rows if r["common"]], [r["word"] for r in rows]
+
+
+#: Counts of a word: all; those in texts of both letter cases; of these, in small letters; after a given name.
+_HABITS = ("whole", "told", "small", "after")
+
+
+def count_habits(text: str, find, given: frozenset[str], counts: dict[str, list[int]]) -> None:
+    after = False
+    # a text in capitals, or in small letters only, tells nothing of a word's habit
+    tells = not text.isupper() and not text.islower()
+    for word in find(text):
+        lower = word.lower()
+        if len(word) > 1:
+            row = counts.get(lower)
+            if row is None:
+                row = counts[lower] = [0, 0, 0, 0]
+            row[0] += 1
+            row[3] += after
+            if tells:
+                row[1] += 1
+                row[2] += word == lower
+        after = lower in given
+
+
+def redact_columns(df: DataFrame, given_names: DataFrame | None, columns: tuple[str, ...] = ("text", "author"), most_names: int = 200_000, vocabulary: str = VOCABULARY) -> DataFrame:
     """df with each column redacted and, per column, ``<column>_kinds``: the sorted kinds found in it.
 
     Null and empty values stay as they are, with no kinds; text outside the spans is unchanged. ``given_names`` (column
     ``word``) is read up to ``most_names`` words, which bounds what is broadcast; more raise an error. Columns named like
     the new ones raise an error.
     """
+    from murmur.llm.pii_training import fit
+
     spark = df.sparkSession
     names = [r[0] for r in given_names.select("word").distinct().limit(most_names + 1).collect()] if given_names is not None else []
     if len(names) > most_names:
         raise ValueError(f"more than {most_names} given names")
     if clash := {f"{c}_kinds" for c in columns} & set(df.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
-    finder = spark.sparkContext.broadcast((names, fit(), family_endings(df, names, columns)))
+    finder = spark.sparkContext.broadcast((names, fit(vocabulary=vocabulary), *word_habits(df, names, columns, vocabulary), vocabulary))
     kinds = T.ArrayType(T.StringType(), False)
     schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name in columns else f for f in df.schema.fields), *(T.StructField(f"{c}_kinds", kinds) for c in columns)])
 
@@ -531,7 +556,8 @@ def redact_columns(df: DataFrame, given_names: DataFrame | None, columns: tuple[
             arrays = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             more = []
             for c in columns:
-                done = [find.redact(t) for t in arrays[c].to_pylist()]
+                texts = arrays[c].to_pylist()
+                done = [redacted(t, s) for t, s in zip(texts, find.find_all(texts), strict=True)]
                 arrays[c] = pa.array([t for t, _ in done], pa.string())
                 more.append(pa.array([k for _, k in done], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays([*arrays.values(), *more], names=schema.names)
