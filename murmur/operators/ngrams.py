@@ -44,14 +44,15 @@ def phrase_coverage(df: DataFrame, sentences: Column, k: int = 6) -> DataFrame:
     """One row: percent of the rows with tokens that hold one of the top bigrams."""
     top = top_ngrams(df, sentences, 2, k).agg(F.collect_list("phrase")).scalar()
     rows = df.select(ngrams(sentences, 2).alias("grams"), F.size(sentences).alias("n"), top.alias("top")).where("n > 0")
-    return rows.agg(F.coalesce(F.round(F.count_if(F.arrays_overlap("grams", "top")) * 100 / F.count("*"), 1), F.lit(0.0)).alias("coverage"))
+    return rows.agg(F.coalesce(F.round(F.try_divide(F.count_if(F.arrays_overlap("grams", "top")) * 100, F.count("*")), 1), F.lit(0.0)).alias("coverage"))
 
 
 def time_buckets(df: DataFrame, time_col: str, buckets: int = 8) -> DataFrame:
     """df with ``bucket``: equal widths between the least and the greatest time; rows without time are left out."""
     known = df.where(F.col(time_col).isNotNull())
     micros = F.unix_micros(time_col)
-    low, high = (known.agg(f(micros)).scalar() for f in (F.min, F.max))
+    ends = known.agg(F.struct(F.min(micros).alias("low"), F.max(micros).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     span = F.when(high > low, high - low).otherwise(1)
     return known.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((micros - low) / span * buckets)).cast("long"))
 

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def local_dir() -> str:
+    """A folder of this machine for a session in one process, removed when the process ends."""
+    path = tempfile.mkdtemp(prefix="murmur-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where none is set, as in local tests, a temporary one is made."""
+    """The folder named in spark.checkpoint.dir. Only where none is set and all runs in one process, as in tests, one is made."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="murmur-")
+        named = local_dir()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
