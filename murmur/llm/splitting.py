@@ -1,12 +1,14 @@
 """Splitting of oversized texts at natural boundaries, with sizes in tokens of a public vocabulary.
 
-A text's boundary positions carry a penalty each: paragraph, line, sentence, clause, word, inside a word.  A dynamic
-program over these positions picks the cuts that minimise the sum of cut penalties and the squared deviation of the
-piece sizes from an even share, with no piece above the limit and the given overlap between neighbours.
+Every token position that begins a character is a boundary and carries a penalty: paragraph, line, sentence, clause, word,
+inside a word.  A dynamic program over all of them picks the cuts, of any number, that minimise the sum of the cut
+penalties and of the squared shortfalls of the pieces from the limit, with no piece above the limit and the given overlap
+between neighbours.  For a given number of pieces that sum is least where their sizes are even.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,88 +21,80 @@ from murmur.llm.tokens import VOCABULARY, worker_encoder
 
 #: Penalties of a cut by the kind of boundary.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 0.0, 0.5, 1.0, 3.0, 6.0, 20.0
-#: Weight of a piece's squared relative deviation from an even size.
+#: Weight of a piece's squared shortfall, relative to the limit.
 BALANCE = 4.0
+#: A piece but the last brings at least this part of limit - overlap in new tokens.
+LEAST = 8
+HAS_INNER = 1000.0
 _SENTENCE_ENDS = ".!?…。！？"
 _CLAUSE_ENDS = ",;:)，；：、"
 
 
-def _cuts_in(pieces: int, ends: np.ndarray, costs: np.ndarray, limit: int, overlap: int) -> tuple[float, list[int]] | None:
-    """The cheapest way to end so many pieces at the given positions, the last of which is the text's end."""
-    total, step = int(ends[-1]), limit - overlap
-    even = (total + (pieces - 1) * overlap) / pieces
-    slack = pieces * step - (total - overlap)
-    if slack < 0:
-        return None
-    at, best, back = np.zeros(1, np.int64), np.zeros(1), []
-    for k in range(1, pieces + 1):
-        most = k * step + overlap
-        low, high = np.searchsorted(ends, max(1, most - slack), side="left"), np.searchsorted(ends, most, side="right")
-        if k == pieces:
-            low = high = len(ends)
-            low -= 1
-        elif high == len(ends):
-            high -= 1
-        here = ends[low:high]
-        if not len(here):
-            return None
-        sizes = here[None, :] - at[:, None] + (overlap if k > 1 else 0)
-        sums = np.where((sizes <= limit) & (here[None, :] > at[:, None]), best[:, None] + BALANCE * ((sizes - even) / even) ** 2, np.inf)
-        came = np.argmin(sums, axis=0)
-        cost = sums[came, np.arange(len(here))] + costs[low:high]
-        fine = np.isfinite(cost)
-        if not fine.any():
-            return None
-        back.append((here[fine], came[fine]))
-        at, best = here[fine], cost[fine]
-    k, out = int(np.argmin(best)), []
-    cost = float(best[k])
-    for here, came in reversed(back):
-        out.append(int(here[k]))
-        k = int(came[k])
-    return cost, out[::-1]
-
-
-def plan_cuts(positions: np.ndarray, penalties: np.ndarray, total: int, limit: int, overlap: int) -> list[int]:
-    """Ends of the pieces, in tokens, the last one being ``total``.
-
-    positions: rising boundary positions in 1..total-1. A piece after a cut at c starts at c - overlap. Neighbouring
-    positions, 0 and total included, lie at most a quarter of ``limit - overlap`` apart, so that some number of pieces
-    fits. Of the least number that fits and the next one, the cheaper is taken.
+class Planner:
+    """The cheapest cuts for one limit and overlap.
+
+    Positions are taken in blocks as long as the least piece, so that a block rests on positions before it only: its costs
+    are one matrix of block by window, which is the same for every block as long as the overlaps begin at characters.
     """
-    if total <= limit:
-        return [total]
-    ends, costs = np.append(positions, total), np.append(penalties, 0.0)
-    pieces = max(2, -(-(total - overlap) // (limit - overlap)))
-    while (found := _cuts_in(pieces, ends, costs, limit, overlap)) is None:
-        pieces += 1
-    other = _cuts_in(pieces + 1, ends, costs, limit, overlap)
-    return other[1] if other and other[0] < found[0] else found[1]
-
-
-def thinned(tokens: np.ndarray, apart: int) -> np.ndarray:
-    """Marks one position, the first, of each cell of a grid."""
-    cell = tokens // apart
-    return np.append(True, cell[1:] != cell[:-1])[: len(tokens)]
-
-
-def boundaries(tokens: np.ndarray, penalties: np.ndarray, total: int, gap: int, apart: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The strongest boundaries, and weaker ones only inside stretches of more than ``gap`` tokens without any, about
-    ``apart`` tokens from each other."""
-    keep = penalties <= SENTENCE
-    for limit in (CLAUSE, WORD, INSIDE):
-        at = np.concatenate(([0], tokens[keep], [total]))
-        wide = np.diff(at) > gap
-        if not wide.any():
-            break
-        inside = np.searchsorted(at, tokens, side="left") - 1
-        more = np.flatnonzero((penalties <= limit) & ~keep & wide[np.clip(inside, 0, len(wide) - 1)])
-        keep[more[thinned(tokens[more], apart)]] = True
-    return tokens[keep], penalties[keep]
+
+    def __init__(self, limit: int, overlap: int):
+        self.limit, self.overlap, self.step = limit, overlap, limit - overlap
+        self.least = max(1, self.step // LEAST)
+        sizes = np.arange(limit + 4)
+        self.price = np.where(sizes <= limit, BALANCE * ((limit - sizes) / limit) ** 2, np.inf)
+        # by tokens that an overlap grows by: block position by window position, the window being the step before the block
+        fresh = np.arange(self.least)[:, None] + self.step - np.arange(self.step)[None, :]
+        fits = (fresh >= self.least) & (fresh <= self.step)
+        self.tables = np.stack([np.where(fits, self.price[np.minimum(fresh + overlap + more, limit + 3)], np.inf) for more in range(4)])
+        self.turned = np.ascontiguousarray(self.tables[0].T)
+        self.reached = np.arange(self.step) < self.least
+
+    def plan(self, penalties: np.ndarray, more: np.ndarray) -> list[int]:
+        """Ends of the pieces, in tokens, the last one being the text's end.
+
+        penalties[p]: the penalty of a cut before token p, infinite where none may be; more[p]: by how many tokens, at
+        most three, the overlap after such a cut grows. Both have a place for each token and one for the end.
+        """
+        total, limit, step, least = len(penalties) - 1, self.limit, self.step, self.least
+        if total <= limit:
+            return [total]
+        # places before the text stand for the window of the first blocks
+        best = np.full(step + total + 1, np.inf)
+        grown = np.zeros(step + total + 1, np.int64)
+        grown[step:] = more
+        uneven = bool(more.any())
+        lowest = max(least, self.overlap + 1)
+        columns = np.arange(step)
+        for at in range(lowest, total, least):
+            end = min(at + least, total)
+            before = best[at : at + step]
+            if uneven and (window := grown[at : at + step]).any():
+                value = (self.tables[window, : end - at, columns].T + before).min(axis=1)
+            else:
+                # a cut that the whole block can reach makes later ones of no lower cost needless, as its piece is the fuller
+                kept = self.reached.copy()
+                kept[least:] = before[least:] < np.minimum.accumulate(before[least - 1 : -1])
+                at_kept = np.flatnonzero(kept)
+                value = (self.turned[at_kept, : end - at] + before[at_kept, None]).min(axis=0)
+            if at <= limit:
+                # the first piece has no overlap
+                value = np.minimum(value, self.price[np.minimum(np.arange(at, end), limit + 3)])
+            best[step + at : step + end] = value + penalties[at:end]
+        # which cut came before is found again for the cuts of the best way alone
+        out, p = [total], total
+        while True:
+            low = max(lowest, p - step)
+            high = p if p == total else p - least + 1
+            ways = best[step + low : step + high] + self.price[np.minimum(p - np.arange(low, high) + self.overlap + more[low:high], limit + 3)]
+            alone = self.price[p] if p <= limit else np.inf
+            if not len(ways) or alone <= ways.min():
+                return out[::-1]
+            p = low + int(ways.argmin())
+            out.append(p)
 
 
 class _Marks(dict):
-    """By span: the penalty of a cut after it; the cuts inside of spans that have any are in ``inner``."""
+    """By span: the penalty of a cut after it, with HAS_INNER on top if there are cuts inside, which are in ``inner``."""
 
     def __init__(self, encoder):
         super().__init__()
@@ -125,6 +119,7 @@ class _Marks(dict):
                 found.append((tokens, PARAGRAPH if breaks > 1 else LINE if breaks else SENTENCE if word[-1] in "。！？" else CLAUSE if word[-1] in "，；：、" else INSIDE / 2))
         if found:
             self.inner[span] = found
+            self[span] = after = after + HAS_INNER
         return after
 
 
@@ -133,12 +128,11 @@ class Splitter:
         self.encoder = worker_encoder(vocabulary)
         self.limit, self.overlap = limit, overlap
         self.bytes_of = sorted(self.encoder.ranks, key=self.encoder.ranks.get)
+        #: Whether a token begins with the first byte of a character.
+        self.begins = np.array([t[0] & 0xC0 != 0x80 for t in self.bytes_of])
+        self.planner = Planner(limit, overlap)
         self.marks = _Marks(self.encoder)
 
-    def _starts(self, token: int) -> bool:
-        """Whether the token begins with the first byte of a character."""
-        return self.bytes_of[token][0] & 0xC0 != 0x80
-
     def split(self, parts: list[str], ids: list[tuple[int, ...]]) -> list[tuple[int, int]]:
         """(first token, end) of each piece of a text given by its spans."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -147,42 +141,23 @@ class Splitter:
             return [(0, total)]
         if len(self.marks) > 200_000:
             self.marks = _Marks(self.encoder)
-        # three tokens of slack, as an overlap may have to reach back to the start of a character
-        limit = self.limit - 3
-        gap = max(1, (limit - self.overlap) // 4)
+        penalties = np.full(total + 1, INSIDE)
         ends = np.cumsum(sizes)
-        pen = np.fromiter(map(self.marks.__getitem__, parts), np.float64, len(parts))[:-1]
-        pos = ends[:-1]
-        inner = self.marks.inner
-        more = [(int(ends[k] - sizes[k]) + t, p) for k, s in enumerate(parts) if s in inner for t, p in inner[s]] if not inner.keys().isdisjoint(parts) else []
-        if more:
-            pos = np.concatenate((pos, np.array([m[0] for m in more], np.int64)))
-            pen = np.concatenate((pen, np.array([m[1] for m in more])))
-        pos, pen = self._ordered(pos, pen, total)
-        flat = [t for piece in ids for t in piece]
-        edges = np.concatenate(([0], pos, [total]))
-        wide = np.flatnonzero(np.diff(edges) > gap)
-        if len(wide):
-            more = [p for w in wide for p in range(int(edges[w]) + 1, int(edges[w + 1])) if self._starts(flat[p])]
-            pos, pen = self._ordered(np.concatenate((pos, np.array(more, np.int64))), np.concatenate((pen, np.full(len(more), INSIDE))), total)
-        # a span's inner cuts may split a character of several tokens only if the vocabulary's words do
-        pos, pen = boundaries(pos, pen, total, gap)
-        out, start = [], 0
-        for end in plan_cuts(pos, pen, total, limit, self.overlap):
-            out.append((start, end))
-            start = end - self.overlap
-            while start > 0 and not self._starts(flat[start]):
-                start -= 1
-        return out
-
-    @staticmethod
-    def _ordered(pos: np.ndarray, pen: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rising positions inside the text, each once with its least penalty."""
-        order = np.lexsort((pen, pos))
-        pos, pen = pos[order], pen[order]
-        fine = (pos > 0) & (pos < total)
-        fine[1:] &= pos[1:] != pos[:-1]
-        return pos[fine], pen[fine]
+        marks = np.fromiter(map(self.marks.__getitem__, parts), np.float64, len(parts))
+        parted = np.flatnonzero(marks >= HAS_INNER)
+        marks[parted] -= HAS_INNER
+        np.minimum.at(penalties, ends, marks)
+        for k in parted.tolist():
+            for tokens, penalty in self.marks.inner[parts[k]]:
+                place = int(ends[k] - sizes[k]) + tokens
+                penalties[place] = min(penalties[place], penalty)
+        begins = np.append(self.begins[np.fromiter(itertools.chain.from_iterable(ids), np.int64, total)], True)
+        penalties[~begins] = np.inf
+        # an overlap reaches back to the start of a character
+        start = np.maximum.accumulate(np.where(begins, np.arange(total + 1), 0))[np.maximum(np.arange(total + 1) - self.overlap, 0)]
+        more = np.maximum(np.arange(total + 1) - self.overlap, 0) - start
+        pieces = self.planner.plan(penalties, more)
+        return [(0 if k == 0 else int(start[pieces[k - 1]]), end) for k, end in enumerate(pieces)]
 
 
 def split_oversized(

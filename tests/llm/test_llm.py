@@ -1,5 +1,6 @@
 """The corpus operators: against brute force, exact round trips, held-out accuracy, and odd and empty tables."""
 
+import functools
 import random
 
 import numpy as np
@@ -258,26 +259,31 @@ def test_paragraphs_before_lines_and_wide_stops():
 
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        total = int(rng.integers(25, 60))
-        pos = np.arange(1, total)
-        pen = rng.choice([0.0, 1.0, 6.0], len(pos))
-        cuts = splitting.plan_cuts(pos, pen, total, 20, 4)
-        pieces = len(cuts)
-        even = (total + (pieces - 1) * 4) / pieces
-
-        def best(start_end, left, total=total, pen=pen, even=even):
-            if left == 1:
-                size = total - start_end + (4 if start_end else 0)
-                return splitting.BALANCE * ((size - even) / even) ** 2 if 0 < size <= 20 and total > start_end else np.inf
-            return min((splitting.BALANCE * ((e - start_end + (4 if start_end else 0) - even) / even) ** 2 + pen[e - 1] + best(e, left - 1) for e in range(start_end + 1, min(total, start_end + 20 - (4 if start_end else 0) + 1))), default=np.inf)
-
+    for round_ in range(60):
+        total, limit, overlap = int(rng.integers(21, 90)), int(rng.integers(14, 21)), int(rng.integers(0, 5))
+        planner = splitting.Planner(limit, overlap)
+        pen = rng.choice([0.0, 0.5, 1.0, 3.0, 6.0, 20.0], total + 1)
+        pen[rng.random(total + 1) < 0.1] = np.inf
+        more = rng.integers(0, 4, total + 1) if round_ % 2 else np.zeros(total + 1, np.int64)
+        price = lambda size, limit=limit: splitting.BALANCE * ((limit - size) / limit) ** 2 if size <= limit else np.inf
+
+        @functools.cache
+        def best(cut, total=total, overlap=overlap, planner=planner, pen=tuple(pen), more=tuple(more)):
+            """The least cost of all that follows a cut."""
+            extra = overlap + more[cut] if cut else 0
+            out = price(total - cut + extra)
+            for end in range(max(cut + planner.least, overlap + 1), total):
+                if (here := price(end - cut + extra) + pen[end]) < np.inf:
+                    out = min(out, here + best(end))
+            return out
+
+        if best(0) == np.inf:
+            continue
         cost, last = 0.0, 0
-        for c in cuts:
-            cost += splitting.BALANCE * ((c - last + (4 if last else 0) - even) / even) ** 2 + (pen[c - 1] if c < total else 0)
+        for c in planner.plan(pen, more):
+            cost += price(c - last + (overlap + more[last] if last else 0)) + (pen[c] if c < total else 0.0)
             last = c
-        if pieces <= 4:
-            assert abs(cost - best(0, pieces)) < 1e-9
+        assert last == total and abs(cost - best(0)) < 1e-9
 
 
 def test_leaks_like_brute_force(spark):
