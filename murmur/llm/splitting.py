@@ -64,18 +64,21 @@ class Planner:
         grown[step:] = more
         uneven = bool(more.any())
         lowest = max(least, self.overlap + 1)
-        columns = np.arange(step)
         for at in range(lowest, total, least):
             end = min(at + least, total)
             before = best[at : at + step]
+            odd = ()
             if uneven and (window := grown[at : at + step]).any():
-                value = (self.tables[window, : end - at, columns].T + before).min(axis=1)
-            else:
-                # a cut that the whole block can reach makes later ones of no lower cost needless, as its piece is the fuller
-                kept = self.reached.copy()
-                kept[least:] = before[least:] < np.minimum.accumulate(before[least - 1 : -1])
-                at_kept = np.flatnonzero(kept)
-                value = (self.turned[at_kept, : end - at] + before[at_kept, None]).min(axis=0)
+                odd = np.flatnonzero(window)
+                whole, before = before, before.copy()
+                before[odd] = np.inf
+            # a cut that the whole block can reach makes later ones of no lower cost needless, as its piece is the fuller
+            kept = self.reached & (before < np.inf)
+            kept[least:] = before[least:] < np.minimum.accumulate(before[least - 1 : -1])
+            kept = kept.nonzero()[0]
+            value = (self.turned[kept, : end - at] + before[kept, None]).min(axis=0, initial=np.inf)
+            if len(odd):
+                value = np.minimum(value, (self.tables[window[odd], : end - at, odd] + whole[odd, None]).min(axis=0))
             if at <= limit:
                 # the first piece has no overlap
                 value = np.minimum(value, self.price[np.minimum(np.arange(at, end), limit + 3)])
@@ -103,6 +106,8 @@ class _Marks(dict):
     def __missing__(self, span: str) -> float:
         last = span.rstrip("\"'”’»")[-1:]
         self[span] = after = WORD if not last else SENTENCE if last in _SENTENCE_ENDS else CLAUSE if last in _CLAUSE_ENDS else WORD
+        if span.isalpha() or span[:-1].isalpha() and span.isascii():
+            return after
         found, tokens = [], 0
         words = self.encoder.words(" " + span)
         run = 0
@@ -146,11 +151,13 @@ class Splitter:
         marks = np.fromiter(map(self.marks.__getitem__, parts), np.float64, len(parts))
         parted = np.flatnonzero(marks >= HAS_INNER)
         marks[parted] -= HAS_INNER
-        np.minimum.at(penalties, ends, marks)
-        for k in parted.tolist():
-            for tokens, penalty in self.marks.inner[parts[k]]:
-                place = int(ends[k] - sizes[k]) + tokens
-                penalties[place] = min(penalties[place], penalty)
+        if (sizes == 0).any():
+            np.minimum.at(penalties, ends, marks)
+        else:
+            penalties[ends] = marks
+        inner = [self.marks.inner[parts[k]] for k in parted]
+        places = np.repeat(ends[parted] - sizes[parted], [len(x) for x in inner]) + np.array([t for x in inner for t, _ in x], np.int64)
+        penalties[places] = np.minimum(penalties[places], [p for x in inner for _, p in x])
         begins = np.append(self.begins[np.fromiter(itertools.chain.from_iterable(ids), np.int64, total)], True)
         penalties[~begins] = np.inf
         # an overlap reaches back to the start of a character
