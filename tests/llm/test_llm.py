@@ -202,7 +202,10 @@ def test_abuse_learns_and_ranks():
     good = [f"the {rng.choice(['lamp', 'intro', 'audio', 'kettle'])} is {rng.choice(['fine', 'clear', 'trash', 'dull'])} number {i}" for i in range(400)]
     bad = [f"shut your mouth you {rng.choice(['fool', 'clown', 'moron'])}, {rng.choice(['nobody asked', 'go away'])}" for _ in range(60)]
     bias, weights = abuse.fit([(t, 0) for t in good[:300]] + [(t, 1) for t in bad[:45]])
-    score = lambda t: abuse.score(t, bias, weights)
+    table = abuse.dense(weights)
+    score = lambda t: abuse.scores([t], bias, table)[0]
+    texts = [*good, None, "", *bad, "x y"]
+    assert np.array_equal(abuse.scores(texts, bias, table), [score(t) for t in texts])
     assert min(map(score, bad[45:])) > 0.5 > max(map(score, good[300:]))
     assert score("Shut your mouth you c l o w n") > 0.5 and score("ѕhut yоur mоuth you m0r0n") > 0.5 and score(None) == score("") == score(" \n") == 0.0
     assert len(weights) < 3000
@@ -298,13 +301,18 @@ def test_leaks_like_brute_force(spark):
             body[10:10] = held[rng.randint(0, 4) :][: rng.choice([9, 10, 12])]
         docs.append((d, ", ".join(w.upper() if rng.random() < 0.3 else w for w in body)))
     docs += [(100, None), (101, ""), (102, "-".join(items[0][1].split()).replace("w", "ｗ"))]
-    got = {(r[0], r[1]) for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), item_block=4).collect()}
+    documents, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r[0], r[1]) for r in leakage.find_leaks(documents, held).collect()}
     expected = set()
     for d, text in docs:
         have = leakage.plain_words(text) if text else []
         grams = {tuple(have[i : i + 10]) for i in range(len(have) - 9)}
         expected |= {(d, i) for i, t in items if t and any(tuple(leakage.plain_words(t)[k : k + 10]) in grams for k in range(len(t.split()) - 9))}
     assert got == expected and (102, 0) in got
+    # beyond the size of one search table, and with ids of another type
+    assert {(r[0], r[1]) for r in leakage.find_leaks(documents, held, most_words=50).collect()} == expected
+    named = leakage.find_leaks(documents, held.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
+    assert {(r[0], int(r[1][1:])) for r in named.collect()} == expected
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="no test data here")
