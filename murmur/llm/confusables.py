@@ -77,19 +77,49 @@ def with_skeleton(df: DataFrame, text_col: str = "text", out: str = "skeleton")
     return df.withColumn(out, skeleton_column(F.col(text_col).cast("string")))
 
 
+def _forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, looks, stored): hashes of the skeleton and of the text as stored, of rows that don't look blank."""
+    rows = with_skeleton(df.select(F.col(id_col).alias("row"), F.col(text_col).alias("stored")), "stored", "looks").where(
+        F.col("stored").isNotNull() & F.col("looks").rlike(r"(?U)\S")
+    )
+    return rows.select("row", F.unhex(F.md5("looks")).alias("looks"), F.unhex(F.md5("stored")).alias("stored"))
+
+
 def look_alike_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", block: int = 5_000) -> DataFrame:
     """(row_a, row_b), row_a < row_b: rows whose texts look the same but are stored in different characters.
 
-    Null texts and texts that look blank form no pair; equal texts form none with each other. Rows are first reduced to
-    groups that hold more than one stored form; groups of more than ``block`` rows are spread over several tasks, each
-    of which meets every other row of the group, so nothing is left out. An empty table gives no pairs.
+    Null texts and texts that look blank form no pair; equal texts form none with each other. An empty table gives none.
+
+    Distinct stored forms of one look are paired first, and only then are their rows, so that no two rows meet that are not
+    a result, however often one form is stored. Rows of a form with more than ``block`` of them are spread over as many
+    tasks as they fill, on either side, so nothing is left out. Where all pairs are more than is wanted, as with a form
+    that a third of all rows has, take ``look_alike_classes``.
     """
-    rows = with_skeleton(df.select(F.col(id_col).alias("row"), F.col(text_col).alias("stored")), "stored", "looks").where(
-        F.col("stored").isNotNull() & F.col("looks").rlike(r"(?U)\S")
-    )
-    rows = rows.select("row", F.unhex(F.md5("looks")).alias("looks"), F.unhex(F.md5("stored")).alias("stored"))
-    groups = rows.groupBy("looks").agg(F.min("stored").alias("low"), F.max("stored").alias("high"), F.count("*").alias("n")).where("low <> high")
-    members = rows.join(groups.select("looks", F.ceil(F.col("n") / block).cast("int").alias("salts")), "looks")
-    left = members.select("looks", F.col("row").alias("row_a"), F.col("stored").alias("stored_a"), F.pmod(F.xxhash64("row"), "salts").cast("int").alias("salt"))
-    right = members.select("looks", F.col("row").alias("row_b"), F.col("stored").alias("stored_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, ["looks", "salt"]).where("stored_a <> stored_b and row_a < row_b").select("row_a", "row_b")
+    rows = _forms(df, id_col, text_col)
+    forms = rows.groupBy("looks", "stored").agg(F.count("*").alias("n"))
+    shared = forms.groupBy("looks").agg(F.count("*").alias("forms")).where("forms > 1").select("looks")
+    forms = forms.join(shared, "looks").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    part = F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part")
+    members = rows.join(forms.select("stored", "parts"), "stored").select("stored", "row", part)
+    other = forms.select("looks", F.col("stored").alias("stored_b"), F.col("parts").alias("parts_b"))
+    pairs = forms.select("looks", F.col("stored").alias("stored_a"), F.col("parts").alias("parts_a")).join(other, "looks").where("stored_a < stored_b")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    spread = pairs.select("stored_a", "stored_b", "parts_b", every("parts_a").alias("part_a"))
+    left = spread.join(members.select(F.col("stored").alias("stored_a"), F.col("part").alias("part_a"), F.col("row").alias("a")), ["stored_a", "part_a"])
+    left = left.select("a", "stored_b", every("parts_b").alias("part_b"))
+    both = left.join(members.select(F.col("stored").alias("stored_b"), F.col("part").alias("part_b"), F.col("row").alias("b")), ["stored_b", "part_b"])
+    return both.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
+
+
+def look_alike_classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """(id_col, class_id, forms, links): each row that doesn't look blank, the least id of the rows that look like it, in how
+    many forms they are stored, and how many of them are stored in another form than the row's.
+
+    One row for each row of df, however many pairs there are; counts go by form and then by look, so a hot form is
+    combined before it is shuffled. Null texts and texts that look blank are left out.
+    """
+    rows = _forms(df, id_col, text_col)
+    forms = rows.groupBy("looks", "stored").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    looks = forms.groupBy("looks").agg(F.sum("n").alias("whole"), F.count("*").alias("forms"), F.min("first").alias("class_id"))
+    of_form = forms.join(looks, "looks").select("stored", "class_id", "forms", (F.col("whole") - F.col("n")).alias("links"))
+    return rows.select(F.col("row").alias(id_col), "stored").join(of_form, "stored").drop("stored")

@@ -33,6 +33,10 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.with_skeleton(_table(spark, folder, "comments").select("row_id", "text")).select("row_id", "skeleton")
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return confusables.look_alike_classes(_table(spark, folder, "comments"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_information(_table(spark, folder, "comments"), _table(spark, folder, "given_name"))
 
@@ -87,4 +91,4 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, folder, "documents")).select("doc_id", "piece", "n_pieces", "first_token", "end_token", "piece_text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_forms, p3_found, p3_redacted, p4_found, p4_scores, p5_found, p5_counts, p6_found, p6_rates, p8_ids, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_forms, p2_classes, p3_found, p3_redacted, p4_found, p4_scores, p5_found, p5_counts, p6_found, p6_rates, p8_ids, p9_found, p10_found, p10_pieces)}

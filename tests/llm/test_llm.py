@@ -53,9 +53,17 @@ def test_skeleton():
 
 def test_pairs_like_brute_force(spark):
     texts = ["abc", "ａbc", "abc", "a​bc", "Abc", "", " ", "​", None, "éa", "éa"] + ["hot"] * 40 + ["hоt"] * 3
-    got = {(r[0], r[1]) for r in confusables.look_alike_pairs(spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"), block=4).collect()}
-    seen = lambda t: t is not None and confusables.skeleton(t).strip()
-    assert got == {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if seen(texts[a]) and seen(texts[b]) and texts[a] != texts[b] and confusables.skeleton(texts[a]) == confusables.skeleton(texts[b])}
+    frame = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    seen = [t is not None and bool(confusables.skeleton(t).strip()) for t in texts]
+    alike = lambda a, b: seen[a] and seen[b] and confusables.skeleton(texts[a]) == confusables.skeleton(texts[b])
+    expected = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(a, b) and texts[a] != texts[b]}
+    got = [(r[0], r[1]) for r in confusables.look_alike_pairs(frame, block=4).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    classes = {r[0]: tuple(r[1:]) for r in confusables.look_alike_classes(frame).collect()}
+    assert set(classes) == {k for k, s in enumerate(seen) if s}
+    for k, (first, forms, links) in classes.items():
+        group = [j for j in range(len(texts)) if alike(j, k)]
+        assert (first, forms, links) == (group[0], len({texts[j] for j in group}), sum(texts[j] != texts[k] for j in group))
 
 
 @pytest.fixture(scope="module")
