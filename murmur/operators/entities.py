@@ -1,6 +1,7 @@
 """Named entities: a gazetteer scan, runs of capitalised words, and ordered rules for their types.
 
-A row's tokens stay one array; scans are folds over it, so nothing is shuffled before the reports aggregate.
+A row's tokens stay one array; scans are folds over it, so nothing is shuffled before the reports aggregate. Whether a word
+has an everyday sense is looked up in a broadcast table.
 """
 
 from __future__ import annotations
@@ -12,25 +13,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from murmur.functions.text import let
-from murmur.lexicons import HONORIFICS, LOCATION_CUES, NAME_STOPS, ORG_SUFFIXES, PERSON_CUES, SPEECH_VERBS
+from murmur.lexicons import HONORIFICS, LOCATION_CUES, MIXED_CASE_BRANDS, NAME_STOPS, ORG_SUFFIXES, PERSON_CUES, SPEECH_VERBS
 
 #: Longest run of capitalised words that is one name.
 LONGEST_RUN = 3
 _FOUND = "array<struct<start:int,size:int,phrase:string>>"
 
 
-def _fold(tokens: Column, start: Column, step, finish=lambda a: a) -> Column:
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, finish)
-
-
 def gazetteer_hits(tokens: Column, gazetteer: dict[str, str]) -> Column:
-    """array<struct<start, size, phrase>>: leftmost longest phrases; a single word must be capitalised and may have a plural s."""
+    """array<struct<start, size, phrase>>: leftmost longest phrases; a single word must be capitalised, or be a brand written
+    with capitals inside, and may have a plural s."""
     by_size: dict[int, list[str]] = {}
     for phrase in gazetteer:
         by_size.setdefault(len(phrase.split()), []).append(phrase)
     singles = by_size.pop(1, [])
     sizes = sorted(by_size, reverse=True)
+    begins = sorted({p.split()[0] for ps in by_size.values() for p in ps})
+
+    def single(token: Column) -> Column:
+        word = F.lower(token)
+        bare = F.when(word.isin(singles), word).when(word.endswith("s") & F.left(word, F.length(word) - 1).isin(singles), F.left(word, F.length(word) - 1))
+        return F.when(token.rlike("^[A-Z]") | token.isin(*MIXED_CASE_BRANDS), bare)
 
     def step(a: Column, i: Column) -> Column:
         def found(size: int, phrase: Column) -> Column:
@@ -40,11 +43,12 @@ def gazetteer_hits(tokens: Column, gazetteer: dict[str, str]) -> Column:
         for size in sizes:
             phrase = F.lower(F.array_join(F.slice(tokens, i + 1, size), " "))
             out = out.when((i + size <= F.size(tokens)) & phrase.isin(by_size[size]), found(size, phrase))
-        word = F.lower(F.get(tokens, i))
-        bare = F.when(word.isin(singles), word).when(word.endswith("s") & F.left(word, F.length(word) - 1).isin(singles), F.left(word, F.length(word) - 1))
-        return out.when(F.get(tokens, i).rlike("^[A-Z]") & bare.isNotNull(), found(1, bare)).otherwise(a)
+        bare = single(F.get(tokens, i))
+        return out.when(bare.isNotNull(), found(1, bare)).otherwise(a)
 
-    return _fold(tokens, F.struct(F.lit(0).alias("next"), F.array().cast(_FOUND).alias("found")), step, lambda a: a["found"])
+    # the fold runs over the places where an entry may begin, which most rows have none of
+    may = F.filter(F.transform(tokens, lambda t, i: F.when(F.lower(t).isin(begins) | single(t).isNotNull(), i)), lambda i: i.isNotNull())
+    return F.aggregate(may, F.struct(F.lit(0).alias("next"), F.array().cast(_FOUND).alias("found")), step, lambda a: a["found"])
 
 
 def capitalized_runs(tokens: Column, hits: Column, stops: Sequence[str] = NAME_STOPS) -> Column:
@@ -60,48 +64,59 @@ def capitalized_runs(tokens: Column, hits: Column, stops: Sequence[str] = NAME_S
     return let(fine, of)
 
 
-def entities(tokens: Column, gazetteer: dict[str, str], given: Sequence[str], known: Sequence[str]) -> Column:
-    """array<struct<start, text, type, confidence, source>> of a row, gazetteer hits first, then typed runs.
+def entities(df: DataFrame, tokens_col: str, gazetteer: dict[str, str], given: Sequence[str], everyday: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """(*keep, start, text, type, confidence, source) of every entity: gazetteer hits, and runs that get a type.
 
-    Runs are typed by the first rule that holds: honorific, given name and another word, organisation ending, verb of
-    speech after it, a gazetteer word in it; runs of known words are rejected; then the word before it, else a weak person.
+    Runs are typed by the first rule that holds: honorific; given name and another word; a word of an organisation in it; a
+    verb of speech after it; a gazetteer word in it. Runs of which every word is in ``everyday`` (column ``word``, small
+    enough to be broadcast) are no names; then the word before the run decides, and else it is a weak person.
     """
     kinds = F.create_map(*(F.lit(x) for pair in gazetteer.items() for x in pair))
     singles = [p for p in gazetteer if " " not in p]
 
-    def from_hit(h: Column) -> Column:
-        text = F.array_join(F.slice(tokens, h["start"] + 1, h["size"]), " ")
-        return F.struct(h["start"].alias("start"), text.alias("text"), kinds[h["phrase"]].alias("type"), F.when(h["size"] > 1, 0.98).otherwise(0.90).alias("confidence"), F.lit("gazetteer").alias("source"))
-
-    def from_run(r: Column) -> Column:
-        words = F.slice(tokens, r["start"] + 1, r["size"])
-        low = F.transform(words, F.lower)
-        first, last = low[0], F.element_at(low, -1)
-        before, after = F.lower(F.get(tokens, r["start"] - 1)), F.lower(F.get(tokens, r["start"] + r["size"]))
-        listed = F.filter(low, lambda w: w.isin(singles))
-        named = first.isin(list(given)) & (r["size"] > 1) & ~F.get(low, F.lit(1)).isin(list(given))
-        typed = lambda kind, confidence, source: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
-        verdict = (
-            F.when(first.isin(*HONORIFICS) & (r["size"] > 1), typed("Person", 0.85, "honorific"))
-            .when(named, typed("Person", 0.80, "name-pattern"))
-            .when(last.isin(*ORG_SUFFIXES) & (r["size"] > 1), typed("Organization", 0.60, "suffix"))
-            .when(after.isin(*SPEECH_VERBS), typed("Person", 0.65, "context"))
-            .when(F.size(listed) > 0, typed(kinds[F.try_element_at(listed, F.lit(1))], 0.50, "context"))
-            .when(F.forall(low, lambda w: w.isin(list(known))), F.lit(None).cast("struct<type:string,confidence:double,source:string>"))
-            .when(before.isin(*PERSON_CUES), typed("Person", 0.75, "context"))
-            .when(before.isin(*LOCATION_CUES), typed("Location", 0.50, "context"))
-            .otherwise(typed("Person", 0.40, "capitalised"))
-        )
-        text = F.array_join(F.when(named & ~first.isin(*HONORIFICS), F.slice(words, 1, 2)).otherwise(words), " ")
-        return let(verdict, lambda v: F.when(v.isNotNull(), F.struct(r["start"].alias("start"), text.alias("text"), v["type"].alias("type"), v["confidence"].alias("confidence"), v["source"].alias("source"))))
-
-    return let(gazetteer_hits(tokens, gazetteer), lambda hits: F.concat(F.transform(hits, from_hit), F.array_compact(F.transform(capitalized_runs(tokens, hits), from_run))))
+    def places(tokens: Column) -> Column:
+        run = lambda r: F.struct(r["start"].alias("start"), r["size"].alias("size"), F.lit(None).cast("string").alias("phrase"))
+        return let(gazetteer_hits(tokens, gazetteer), lambda hits: F.concat(hits.cast(_FOUND), F.transform(capitalized_runs(tokens, hits), run).cast(_FOUND)))
+
+    t = F.col("__tokens")
+    rows = df.select(*keep, F.col(tokens_col).alias("__tokens"), F.explode(places(F.col(tokens_col))).alias("__p")).select(*keep, "__tokens", "__p.*")
+    words = F.slice(t, F.col("start") + 1, F.col("size"))
+    rows = rows.select(*keep, "start", "size", "phrase", words.alias("__words"), F.transform(words, F.lower).alias("__low"), F.lower(F.get(t, F.col("start") - 1)).alias("__before"), F.lower(F.get(t, F.col("start") + F.col("size"))).alias("__after"))
+    known = everyday.select("word").distinct()
+    for k in range(LONGEST_RUN):
+        side = F.broadcast(known.select(F.col("word").alias(f"__known{k}")))
+        rows = rows.join(side, F.when(F.col("phrase").isNull(), F.get("__low", F.lit(k))) == F.col(f"__known{k}"), "left")
+    ordinary = F.lit(True)
+    for k in range(LONGEST_RUN):
+        ordinary = ordinary & ((F.col("size") <= k) | F.col(f"__known{k}").isNotNull())
+    low = F.col("__low")
+    first, many = low[0], F.col("size") > 1
+    listed = F.filter(low, lambda w: w.isin(singles))
+    titled = first.isin(*HONORIFICS) & many
+    named = ~titled & first.isin(list(given)) & many & ~F.get(low, F.lit(1)).isin(list(given))
+    rules = [
+        (F.col("phrase").isNotNull(), kinds[F.col("phrase")], F.when(many, 0.98).otherwise(0.90), "gazetteer"), (titled, F.lit("Person"), F.lit(0.85), "honorific"), (named, F.lit("Person"), F.lit(0.80), "name-pattern"),
+        (F.exists(low, lambda w: w.isin(*ORG_SUFFIXES)), F.lit("Organization"), F.lit(0.60), "context"), (F.col("__after").isin(*SPEECH_VERBS), F.lit("Person"), F.lit(0.65), "context"), (F.size(listed) > 0, kinds[F.try_element_at(listed, F.lit(1))], F.lit(0.50), "context"),
+        (ordinary, None, None, None), (F.col("__before").isin(*PERSON_CUES), F.lit("Person"), F.lit(0.75), "context"), (F.col("__before").isin(*LOCATION_CUES), F.lit("Location"), F.lit(0.50), "context"), (F.lit(True), F.lit("Person"), F.lit(0.40), "context"),
+    ]
+    verdict = None
+    for holds, kind, confidence, source in rules:
+        value = F.lit(None).cast("struct<type:string,confidence:double,source:string>") if kind is None else F.struct(kind.alias("type"), confidence.alias("confidence"), F.lit(source).alias("source"))
+        verdict = F.when(holds, value) if verdict is None else verdict.when(holds, value)
+    text = F.array_join(F.when(F.col("phrase").isNull() & named, F.slice("__words", 1, 2)).otherwise(F.col("__words")), " ")
+    return rows.select(*keep, "start", text.alias("text"), verdict.alias("__v")).where("__v is not null").select(*keep, "start", "text", "__v.type", "__v.confidence", "__v.source")
 
 
 def entity_types(found: DataFrame) -> DataFrame:
-    """(type, count, share) of rows with a column ``type``."""
-    total = found.agg(F.count("*")).scalar()
-    return found.groupBy("type").agg(F.count("*").alias("count")).withColumn("share", F.round(F.col("count") * 100 / total, 1))
+    """(type, count, share) of rows with a column ``type``; the total is taken over the few counted rows."""
+    counts = found.groupBy("type").agg(F.count("*").alias("count"))
+    return counts.withColumn("share", F.round(F.col("count") * 100 / F.sum("count").over(W.partitionBy()), 1))
+
+
+def entity_examples(found: DataFrame, order_col: str = "row_id", k: int = 4) -> DataFrame:
+    """(type, place, text, source, confidence): the first k entities of each type; a group limit keeps k rows per task."""
+    place = F.row_number().over(W.partitionBy("type").orderBy(order_col, "start"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("type", F.col("place").cast("long").alias("place"), "text", "source", "confidence")
 
 
 def top_entities(found: DataFrame, k: int = 8) -> DataFrame:

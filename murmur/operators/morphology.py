@@ -27,9 +27,9 @@ POS_NAMES = {"n": "Noun", "v": "Verb", "a": "Adjective", "r": "Adverb"}
 FORM_ORDER = {"Plural": "navr", "Comparative": "anvr", "Superlative": "anvr", "Past tense": "vnar", "Present participle": "vnar", "Adverbial": "ranv"}
 ENDING_ORDER = (("(ed|ing)$", "vnar"), ("(er|est)$", "anvr"), ("ly$", "ranv"), ("s$", "nvar"))
 ANY_ORDER = "nvar"
-#: Endings after which a silent e is restored, and consonants that double.
+# Endings after which a silent e is restored, and consonants that double.
 SILENT_E = "(at|bl|iz|us|iv|ir)$"
-DOUBLED = "bdfgklmnprstvz"
+DOUBLED = "bcdfghjklmnpqrstvwxz"
 
 
 def _undouble(stem: Column) -> Column:

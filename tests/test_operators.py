@@ -101,6 +101,8 @@ def test_tags(spark):
     sentence = F.array(*map(F.lit, "The quick foxes jumped over it quickly #tag 12 Anna don't".split()))
     tags = spark.range(1).select(pos.tag_rules(sentence).alias("t")).first()["t"]
     assert tags == ["DT", "NN", "NNS", "VBN", "JJR", "PRP", "RB", "HT", "CD", "NNP", "RB"]
+    words = F.array(*map(F.lit, "good great bad love best more also so but".split()))
+    assert spark.range(1).select(pos.tag_rules(words).alias("t")).first()["t"] == ["JJ", "JJ", "JJ", "VB", "JJS", "JJR", "RB", "RB", "CC"]
     with pytest.raises(ValueError):
         pos.tag_with("none", sentence)
     pairs = pos.compared(spark.createDataFrame([(["to", "watch"],)], "t array<string>"), F.col("t"))
@@ -113,12 +115,47 @@ def test_chunks(spark):
     assert got[0][0][0] == "NP" and got[0][-1] == ("ADJP", "very helpful") and got[1] == []
 
 
-def test_entities(spark):
-    rows = spark.createDataFrame([("We met Sarah Chen in London with Vexel Pro and Drumlarks",), ("the quick lamp",), ("",)], "text string")
-    found = rows.select(entities.entities(tx.tokenize_named(F.col("text")), dict(lexicons.GAZETTEER), ["sarah"], []).alias("e")).collect()
-    got = [[(x["text"], x["type"]) for x in r["e"]] for r in found]
-    assert set(got[0]) == {("Sarah Chen", "Person"), ("London", "Location"), ("Vexel Pro", "Product"), ("Drumlarks", "Product")}
-    assert got[1:] == [[], []]
+GIVEN = "sarah maria mary anne john priya".split()
+
+
+def _entities(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").withColumn("tokens", tx.tokenize_named(F.col("text")))
+    everyday = spark.createDataFrame([(w,) for w in lexicons.everyday_words()], "word string")
+    out = [[] for _ in texts]
+    for r in entities.entities(rows, "tokens", dict(lexicons.GAZETTEER), GIVEN, everyday).collect():
+        out[r["row_id"]].append((r["text"], r["type"], r["source"]))
+    return out
+
+
+def test_entities_that_must_appear(spark):
+    cases = [
+        ("I learned Python from this tutorial", "Python", "Technology"), ("Microsoft released a new update", "Microsoft", "Organization"), ("Dr Sarah Chen explained the model", "Dr Sarah Chen", "Person"), ("Sarah Chen uploaded this", "Sarah Chen", "Person"),
+        ("We visited London and Paris last summer", "London", "Location"), ("We visited London and Paris last summer", "Paris", "Location"), ("This DaVinci Resolve tutorial is great", "DaVinci Resolve", "Product"), ("Nvidia released faster GPUs for deep learning", "GPUs", "Technology"),
+        ("Acme Inc partnered with Stanford University", "Acme Inc", "Organization"), ("Acme Inc partnered with Stanford University", "Stanford University", "Organization"), ("I use Visual Studio Code", "Visual Studio Code", "Product"), ("Maria Gonzalez made this", "Maria Gonzalez", "Person"), ("my iPhone broke", "iPhone", "Product"),
+    ]
+    for found, (text, name, kind) in zip(_entities(spark, [c[0] for c in cases]), cases, strict=True):
+        assert (name, kind) in [f[:2] for f in found], (text, found)
+
+
+def test_sentences_without_entities(spark):
+    clean = [
+        "Monday I watched this", "The Tutorial Is Great", "I Bought This Yesterday", "Best Tutorial Ever", "Please Fix The Export", "This Is A Test Comment", "Thanks For The Video", "Really Good Explanations", "Fresh From The Room", "Please Subscribe To The Channel",
+        "First Video Here", "To Be Honest", "In My Opinion", "my microphone sounds great", "i had apple pie for dessert", "the bank should improve its mobile app", "", "   ",
+    ]
+    assert _entities(spark, clean) == [[] for _ in clean]
+
+
+def test_name_patterns(spark):
+    one, two = _entities(spark, ["Sarah Chen uploaded this", "Mary Anne made this"])
+    assert ("Sarah Chen", "Person", "name-pattern") in one and all(f[2] != "name-pattern" for f in two)
+
+
+def test_both_readings_of_a_bank(spark):
+    rows = spark.createDataFrame([(0, "The bank should improve its mobile app"), (1, "The video shows people sitting near the river bank"), (2, "please show the keyboard shortcuts for windows")], "row_id long, text string")
+    table = lexicons.frame(spark, lexicons.SENSES, "word string, rank int, sense string, gloss string, cues string")
+    found = senses.contexts(rows, tx.tokenize_full(F.col("text")), sorted({s[0] for s in lexicons.SENSES}))
+    best = {(r["row_id"], r["target"]): r["sense"] for r in senses.sense_scores(found, table).where("place = 1").collect()}
+    assert best[0, "bank"] == "bank.depository" and best[1, "bank"] == "bank.slope" and best[2, "window"] == "window.screen"
 
 
 def _grouped(spark, texts):
