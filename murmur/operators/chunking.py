@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from murmur.functions.text import let, term_counts
-from murmur.operators.pos import coarse, tag_rules
+from murmur.operators.pos import LETTER, TAGS, coarse, tag_letters, tag_of, tag_rules
 
 #: Letters: D determiner, J adjective, R comparative, S superlative, N noun, A adverb, M modal, V verb, O any other.
 NOUN_PHRASE = "(D?[JRS]*N+)"
@@ -20,14 +20,18 @@ NAMES = {"NP": "Noun Phrase", "ADJP": "Adjective Phrase", "VP": "Verb Phrase"}
 DROPPED = ("DT", "CC", "PRP$", "CD")
 
 
-def symbol(tag: Column) -> Column:
-    return (
-        F.when(tag == "DT", "D").when(tag == "JJ", "J").when(tag == "JJR", "R").when(tag == "JJS", "S").when(tag.startswith("NN"), "N").when(tag == "RB", "A").when(tag == "MD", "M").when(tag.startswith("VB"), "V").otherwise("O")
-    )
+def symbol(tag: str) -> str:
+    named = {"DT": "D", "JJ": "J", "JJR": "R", "JJS": "S", "RB": "A", "MD": "M"}
+    return named.get(tag) or ("N" if tag.startswith("NN") else "V" if tag.startswith("VB") else "O")
+
 
+_FROM = "".join(LETTER[t] for t in TAGS if t)
+_TO = "".join(symbol(t) for t in TAGS if t)
 
-def chunks(tokens: Column, tags: Column | None = None) -> Column:
-    """array<struct<type, start, tokens, tags>>: the chunks in order. Null tokens give null."""
+
+def chunks(tokens: Column, letters: Column | None = None) -> Column:
+    """array<struct<type, start, tokens, tags>>: the chunks in order. Null tokens give null. ``letters``: the row's tags as
+    from ``tag_letters``, which it is by default."""
     empty = F.array().cast("array<struct<type:string,start:int,size:int>>")
 
     def located(pieces: Column) -> Column:
@@ -37,13 +41,13 @@ def chunks(tokens: Column, tags: Column | None = None) -> Column:
         step = lambda a, p: F.struct((a["at"] + size(p)).alias("at"), F.when(kind(p).isNotNull(), F.array_append(a["found"], F.struct(kind(p).alias("type"), a["at"].alias("start"), size(p).alias("size")))).otherwise(a["found"]).alias("found"))
         return F.aggregate(pieces, start, step, lambda a: a["found"])
 
-    def of(ts: Column) -> Column:
-        letters = F.array_join(F.transform(ts, symbol), "")
-        bracketed = F.regexp_replace(letters, NOUN_PHRASE, "[$1]")
+    def of(ls: Column) -> Column:
+        bracketed = F.regexp_replace(F.translate(ls, _FROM, _TO), NOUN_PHRASE, "[$1]")
         places = located(F.regexp_extract_all(bracketed, F.lit(PIECES), F.lit(1)))
-        return F.transform(places, lambda c: F.struct(c["type"].alias("type"), c["start"].alias("start"), F.slice(tokens, c["start"] + 1, c["size"]).alias("tokens"), F.slice(ts, c["start"] + 1, c["size"]).alias("tags")))
+        tags = lambda c: F.transform(F.filter(F.split(F.substring(ls, c["start"] + 1, c["size"]), ""), lambda x: x != ""), tag_of)
+        return F.transform(places, lambda c: F.struct(c["type"].alias("type"), c["start"].alias("start"), F.slice(tokens, c["start"] + 1, c["size"]).alias("tokens"), tags(c).alias("tags")))
 
-    return let(tag_rules(tokens) if tags is None else tags, of)
+    return let(tag_letters(tokens) if letters is None else letters, of)
 
 
 def head(chunk: Column) -> Column:
@@ -54,9 +58,8 @@ def head(chunk: Column) -> Column:
 
 def chunk_types(df: DataFrame, chunk_col: str = "chunks") -> DataFrame:
     """(type, count, share): chunks by type, share in percent of all."""
-    counts = df.select(F.explode(chunk_col).alias("c")).groupBy(F.col("c.type").alias("type")).agg(F.count("*").alias("count"))
-    total = df.agg(F.sum(F.size(chunk_col))).scalar()
-    return counts.withColumn("share", F.round(F.col("count") * 100 / total, 1))
+    kinds = df.select(F.inline(term_counts(F.transform(chunk_col, lambda c: c["type"])))).groupBy(F.col("term").alias("type")).agg(F.sum("tf").alias("count"))
+    return kinds.withColumn("share", F.round(F.col("count") * 100 / F.sum("count").over(W.partitionBy()), 1))
 
 
 def chunk_summary(df: DataFrame, chunk_col: str = "chunks") -> DataFrame:
@@ -64,6 +67,12 @@ def chunk_summary(df: DataFrame, chunk_col: str = "chunks") -> DataFrame:
     return df.agg(F.count("*").alias("comments"), F.coalesce(F.sum(F.size(chunk_col)), F.lit(0)).cast("long").alias("chunks"), F.round(F.coalesce(F.avg(F.size(chunk_col)), F.lit(0.0)), 2).alias("mean_chunks"))
 
 
+def chunk_example(df: DataFrame, chunk_col: str = "chunks", tokens_col: str = "tokens", id_col: str = "row_id", least: int = 4) -> DataFrame:
+    """(id_col, sentence, chunks): the first row of more than ``least`` tokens, with its chunks in brackets; none for none."""
+    shown = F.array_join(F.transform(chunk_col, lambda c: F.concat(F.lit("["), F.array_join(c["tokens"], " "), F.lit(" "), c["type"], F.lit("]"))), " ")
+    return df.where(F.size(tokens_col) > least).select(id_col, F.array_join(tokens_col, " ").alias("sentence"), shown.alias("chunks")).orderBy(id_col).limit(1)
+
+
 def singular(word: Column) -> Column:
     """The singular by rule: ies to y, es after a hissing sound, else s unless doubled."""
     long = F.length(word) > 3

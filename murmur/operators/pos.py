@@ -1,7 +1,8 @@
 """Part-of-speech tagging by rules, by context, and by both; a registry of taggers; their comparison.
 
-A tagger is a function from an array of tokens to an array of tags. The contextual tagger stands where a statistical one
-would: it patches the rules' tags by the tag before, after Brill (1992).
+A tagger is a function from an array of tokens to an array of tags. The rules run over a whole row at a time: its tokens are
+joined into one string, and each rule replaces, in one pass, the tokens that it fires for by a letter for their tag. The
+contextual tagger stands where a statistical one would: it patches the rules' tags by the tag before, after Brill (1992).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from murmur.functions.text import let
+from murmur.functions.text import let, term_counts, tokenize_full
 from murmur.lexicons import COARSE, FUNCTION_TAGS, TAG_PATTERNS
 
 # Brill patches of ours: tag, tag before, new tag.
@@ -38,32 +39,67 @@ def rule_or_none(token: Column) -> Column:
     return out
 
 
-def _patched(tokens: Column) -> Column:
-    def of(tags: Column) -> Column:
-        def patch(tag: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.get(tags, i - 1))
-            out = None
-            for old, previous, new in PATCHES:
-                hit = (tag == old) & (before == previous)
-                out = F.when(hit, new) if out is None else out.when(hit, new)
-            return out.otherwise(tag)
+#: All tags that rules and patches give, the last one for tokens that no rule fires for, and a letter for each.
+TAGS = (*dict.fromkeys([*FUNCTION_TAGS.values(), "NNP", *(t for _, t in TAG_PATTERNS), *(new for *_, new in PATCHES), "NN"]), None)
+LETTER = {tag: chr(ord("A") + k) for k, tag in enumerate(TAGS)}
+_OPEN, _DONE = "\\x01", "\\x02"
+_REST = f"[^{_OPEN}{_DONE}]*"
 
-        return F.transform(tags, patch)
 
-    return let(F.transform(tokens, lambda t: F.coalesce(rule_or_none(t), F.lit("NN"))), of)
+def rule_letters(tokens: Column) -> Column:
+    """One letter for each token, that of its rule's tag or of none; null tokens give null."""
+    out = F.concat(F.lit("\x01"), F.array_join(tokens, "\x01"))
+
+    def rule(body: str, tag: str | None) -> None:
+        nonlocal out
+        out = F.regexp_replace(out, f"{_OPEN}{body}(?=[{_OPEN}{_DONE}]|$)", "\x02" + LETTER[tag])
+
+    for tag, words in _by_tag().items():
+        rule(f"(?i:{'|'.join(words)})", tag)
+    rule(r"\p{Lu}\p{Ll}+", "NNP")
+    for pattern, tag in TAG_PATTERNS:
+        rule(pattern[1:-1] if pattern.startswith("^") else _REST + "(?:" + pattern[:-1] + ")", tag)
+    rule(_REST, None)
+    return F.when(F.size(tokens) > 0, F.replace(out, F.lit("\x02"), F.lit(""))).otherwise(F.when(tokens.isNotNull(), ""))
+
+
+def tag_letters(tokens: Column) -> Column:
+    """The rule tagger's letters: nouns where no rule fires."""
+    return F.translate(rule_letters(tokens), LETTER[None], LETTER["NN"])
+
+
+def _patched_letter(tag: Column, before: Column) -> Column:
+    out = None
+    for old, previous, new in PATCHES:
+        hit = (tag == LETTER[old]) & (before == LETTER[previous])
+        out = F.when(hit, LETTER[new]) if out is None else out.when(hit, LETTER[new])
+    return out.otherwise(tag)
+
+
+def tag_of(letter: Column) -> Column:
+    return F.get(F.array(*map(F.lit, TAGS)), F.ascii(letter) - ord("A"))
+
+
+def _apart(letters: Column) -> Column:
+    return F.filter(F.split(letters, ""), lambda c: c != "")
+
+
+def _patched(letters: Column) -> Column:
+    return let(_apart(letters), lambda cs: F.transform(cs, lambda c, i: _patched_letter(c, F.get(cs, i - 1))))
 
 
 def tag_rules(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.coalesce(rule_or_none(t), F.lit("NN")))
+    return F.transform(_apart(tag_letters(tokens)), tag_of)
 
 
 def tag_contextual(tokens: Column) -> Column:
-    return _patched(tokens)
+    return F.transform(_patched(tag_letters(tokens)), tag_of)
 
 
 def tag_hybrid(tokens: Column) -> Column:
     """The rule's tag where one fires, else the contextual tag."""
-    return F.zip_with(F.transform(tokens, rule_or_none), _patched(tokens), lambda rule, other: F.coalesce(rule, other))
+    either = lambda rule, other: tag_of(F.when(rule == LETTER[None], other).otherwise(rule))
+    return let(rule_letters(tokens), lambda ls: F.zip_with(_apart(ls), _patched(F.translate(ls, LETTER[None], LETTER["NN"])), either))
 
 
 TAGGERS: dict[str, Callable[[Column], Column]] = {"contextual": tag_contextual, "rules": tag_rules, "hybrid": tag_hybrid}
@@ -76,6 +112,11 @@ def tag_with(name: str, tokens: Column) -> Column:
     return TAGGERS[name](tokens)
 
 
+def tag_text(text: Column, name: str = "hybrid") -> Column:
+    """array<struct<token, tag>> of a text's words; texts without words give an empty array."""
+    return let(tokenize_full(text), lambda ts: F.arrays_zip(ts.alias("token"), tag_with(name, ts).alias("tag")))
+
+
 def coarse(tag: Column) -> Column:
     """The group of a tag; ``Other`` for tags without one."""
     groups: dict[str, list[str]] = {}
@@ -89,8 +130,8 @@ def coarse(tag: Column) -> Column:
 
 def distribution(tag_counts: DataFrame) -> DataFrame:
     """(group, count, share) from counts by tag or word: columns ``tag``, ``count``; share in percent of all tokens."""
-    total = tag_counts.agg(F.sum("count")).scalar()
-    return tag_counts.groupBy(coarse(F.col("tag")).alias("group")).agg(F.sum("count").alias("count")).withColumn("share", F.round(F.col("count") * 100 / total, 1))
+    groups = tag_counts.groupBy(coarse(F.col("tag")).alias("group")).agg(F.sum("count").alias("count"))
+    return groups.withColumn("share", F.round(F.col("count") * 100 / F.sum("count").over(W.partitionBy()), 1))
 
 
 def word_tags(counts: DataFrame) -> DataFrame:
@@ -106,11 +147,37 @@ def key_words(counts: DataFrame, k: int = 6) -> DataFrame:
 
 
 def compared(df: DataFrame, tokens: Column) -> DataFrame:
-    """(tagger, tag, baseline, count): counts of every pair of a tagger's tag and the baseline's for the same token."""
-    tagged = df.select(tokens.alias("tokens")).select(*(tag_with(n, F.col("tokens")).alias(n) for n in TAGGERS))
-    pairs = F.array(*(F.struct(F.lit(n).alias("tagger"), F.arrays_zip(F.col(n).alias("tag"), F.col(BASELINE).alias("baseline")).alias("pairs")) for n in TAGGERS))
-    rows = tagged.select(F.inline(pairs)).select("tagger", F.inline("pairs")).toDF("tagger", "tag", "baseline")
-    return rows.groupBy("tagger", "tag", "baseline").agg(F.count("*").alias("count"))
+    """(tagger, tag, baseline, count): counts of every pair of a tagger's tag and the baseline's for the same token.
+
+    A token's tag by every tagger follows from its rule's tag and the one before, so these pairs are counted, inside the
+    row first, and the taggers run over the few hundred of them that there are.
+    """
+    places = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.when(i == 1, F.concat(F.lit("."), F.substring(s, i, F.lit(1)))).otherwise(F.substring(s, i - 1, F.lit(2))))
+    letters = df.select(rule_letters(tokens).alias("s")).where("s <> ''")
+    pairs = letters.select(F.inline(term_counts(places(F.col("s"))))).groupBy("term").agg(F.sum("tf").alias("count"))
+    noun = lambda c: F.when(c == LETTER[None], LETTER["NN"]).otherwise(c)
+    rule = F.right("term", F.lit(1))
+    patched = _patched_letter(noun(rule), noun(F.left("term", F.lit(1))))
+    by_name = {"contextual": patched, "rules": noun(rule), "hybrid": F.when(rule == LETTER[None], patched).otherwise(rule)}
+    each = pairs.select("count", F.inline(F.array(*(F.struct(F.lit(n).alias("tagger"), tag_of(by_name[n]).alias("tag"), tag_of(by_name[BASELINE]).alias("baseline")) for n in TAGGERS))))
+    return each.groupBy("tagger", "tag", "baseline").agg(F.sum("count").alias("count"))
+
+
+def disagreements(df: DataFrame, tokens_col: str, id_col: str = "row_id", k: int = 4) -> DataFrame:
+    """(tagger, place, token, tag, baseline, context): the first k tokens, but for a row's last, that a tagger and the
+    baseline tag differently, with up to two words on either side."""
+    t = F.col(tokens_col)
+    rows = df.select(id_col, tokens_col, *(tag_with(n, t).alias(f"__{n}") for n in TAGGERS)).where(F.size(tokens_col) > 1)
+    out = None
+    for name in TAGGERS:
+        if name == BASELINE:
+            continue
+        pairs = F.transform(F.slice(F.arrays_zip(t.alias("token"), F.col(f"__{name}").alias("tag"), F.col(f"__{BASELINE}").alias("baseline")), F.lit(1), F.size(t) - 1), lambda x, i: F.struct(i.alias("at"), x["token"].alias("token"), x["tag"].alias("tag"), x["baseline"].alias("baseline"), F.array_join(F.slice(t, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 3), " ").alias("context")))
+        # a row gives k at most, so that the sort stays small
+        found = rows.select(id_col, F.lit(name).alias("tagger"), F.inline(F.slice(F.filter(pairs, lambda x: x["tag"] != x["baseline"]), 1, k))).orderBy(id_col, "at").limit(k)
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(W.partitionBy("tagger").orderBy(id_col, "at"))
+    return out.select("tagger", place.cast("long").alias("place"), "token", "tag", "baseline", "context")
 
 
 def agreement(pairs: DataFrame) -> DataFrame:

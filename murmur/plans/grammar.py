@@ -53,6 +53,14 @@ def tagger_confusion(spark, folder):
     return pos.confusion(_pairs(spark, folder))
 
 
+def tagger_examples(spark, folder):
+    return pos.disagreements(_full(spark, folder), "tokens")
+
+
+def chunk_example(spark, folder):
+    return chunking.chunk_example(_chunked(spark, folder))
+
+
 def _chunked(spark, folder):
     return _full(spark, folder).withColumn("chunks", chunking.chunks(F.col("tokens")))
 
@@ -83,10 +91,10 @@ def study_sizes(spark, folder):
 
 
 def study_scores(spark, folder):
-    return chunking.study_scores(labelled(spark, folder), "tokens", "label", "row_id", fractions=(0.25, 1.0), iterations=20)
+    return chunking.study_scores(labelled(spark, folder), "tokens", "label", "row_id")
 
 
-QUERIES = {f.__name__: f for f in (pos_rules, pos_hybrid, pos_contextual, pos_distribution, pos_key_words, tagger_agreement, tagger_confusion, chunk_rows, chunk_types, chunk_summary, key_phrases, feature_strings, study_sizes, study_scores)}
+QUERIES = {f.__name__: f for f in (pos_rules, pos_hybrid, pos_contextual, pos_distribution, pos_key_words, tagger_agreement, tagger_confusion, tagger_examples, chunk_example, chunk_rows, chunk_types, chunk_summary, key_phrases, feature_strings, study_sizes, study_scores)}
 
 
 def _quoted(words) -> str:
@@ -139,6 +147,13 @@ SQL = {
         select grp as "group", rank, word, count from r where rank <= 6 and grp in ('Noun', 'Verb', 'Adjective')""",
     "tagger_agreement": f"with {_TOK}, {_PAIRS} select tagger, count(*) as tokens, round(count(*) filter (tag = baseline) * 100.0 / count(*), 1) as agreement from pairs group by tagger",
     "tagger_confusion": f"""with {_TOK}, {_PAIRS}, s as (select {_coarse('baseline')} as a, {_coarse('tag')} as b from pairs) select a || ' -> ' || b as shift, count(*) as count from s where a <> b group by 1 order by 2 desc, 1 limit 6""",
+    "chunk_example": f"""with {_CHUNK}, f as (select row_id, array_to_string(tokens, ' ') as sentence from tokened where len(tokens) > 4 order by row_id limit 1)
+        select row_id, sentence, coalesce(string_agg('[' || words || ' ' || type || ']', ' ' order by start), '') as chunks from f left join ch using (row_id) group by all""",
+    "tagger_examples": f"""with {_TOK}, w as (
+            select *, coalesce(rule, ctag) as htag, lead(word) over r as w1, lead(word, 2) over r as w2, lag(word) over r as b1, lag(word, 2) over r as b2 from ctx window r as (partition by row_id order by at_pos)),
+        d as (select 'rules' as tagger, row_id, at_pos, word, tag as t, ctag, w1, w2, b1, b2 from w union all select 'hybrid', row_id, at_pos, word, htag, ctag, w1, w2, b1, b2 from w),
+        n as (select *, row_number() over (partition by tagger order by row_id, at_pos) as place from d where t <> ctag and w1 is not null)
+        select tagger, place, word as token, t as tag, ctag as baseline, concat_ws(' ', b2, b1, word, w1, w2) as context from n where place <= 4""",
     "chunk_rows": f"with {_CHUNK} select t.row_id, coalesce(s.c, '') as chunks from tokened t left join (select row_id, string_agg(type || ':' || words, '|' order by start) as c from ch group by row_id) s using (row_id)",
     "chunk_types": f"with {_CHUNK} select type, count(*) as count, round(count(*) * 100.0 / (select count(*) from ch), 1) as share from ch group by type",
     "chunk_summary": f"with {_CHUNK} select (select count(*) from tokened) as comments, count(*) as chunks, round(count(*)::double / (select count(*) from tokened), 2) as mean_chunks from ch",
