@@ -153,8 +153,8 @@ def compared(df: DataFrame, tokens: Column) -> DataFrame:
     row first, and the taggers run over the few hundred of them that there are.
     """
     places = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.when(i == 1, F.concat(F.lit("."), F.substring(s, i, F.lit(1)))).otherwise(F.substring(s, i - 1, F.lit(2))))
-    letters = df.select(rule_letters(tokens).alias("s")).where("s <> ''")
-    pairs = letters.select(F.inline(term_counts(places(F.col("s"))))).groupBy("term").agg(F.sum("tf").alias("count"))
+    held = let(rule_letters(tokens), lambda s: F.when(F.length(s) > 0, places(s)))
+    pairs = df.select(F.inline(term_counts(held))).groupBy("term").agg(F.sum("tf").alias("count"))
     noun = lambda c: F.when(c == LETTER[None], LETTER["NN"]).otherwise(c)
     rule = F.right("term", F.lit(1))
     patched = _patched_letter(noun(rule), noun(F.left("term", F.lit(1))))

@@ -10,10 +10,13 @@ from murmur.functions import text as tx
 from murmur.operators import keywords, ngrams, sampling, sentiment
 from murmur.plans import sqltext as q
 from murmur.sources import demo, urls
+from murmur.storage import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; comments, on which all the work in the row is done, spread over the cores if the file has few parts."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name == "comments" else rows
 
 
 def stop_words(spark: SparkSession, folder: str) -> list[str]:

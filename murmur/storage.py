@@ -47,3 +47,11 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is where it has as many partitions as half the cores, as every large input does; a small one, which would keep
+    one core busy and the others waiting, is dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < parts < cores // 2 else df
