@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +37,12 @@ def _mark_runs(ordinal: str, key: str, out: T.StructType):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.array(batch.column(key).to_pylist(), dtype=object)
-            begins = np.append(seen == 0 or keys[0] != last, keys[1:] != keys[:-1])
+            keys = batch.column(key)
+            changes = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+            begins = np.append(seen == 0 or keys[0].as_py() != last, changes).astype(bool)
             at = np.arange(seen, seen + len(keys))
             starts = np.maximum.accumulate(np.where(begins, at, start))
-            seen, start, last = seen + len(keys), int(starts[-1]), keys[-1]
+            seen, start, last = seen + len(keys), int(starts[-1]), keys[-1].as_py()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(starts, pa.int64())], names=out.names)
 
     return run
