@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from murmur.functions.text import let, term_counts
 from murmur.operators.pos import LETTER, TAGS, coarse, tag_letters, tag_of, tag_rules
+from murmur.storage import checkpointed
 
 #: Letters: D determiner, J adjective, R comparative, S superlative, N noun, A adverb, M modal, V verb, O any other.
 NOUN_PHRASE = "(D?[JRS]*N+)"
 PIECES = r"(\[[A-Z]*\]|DA+[JRS]|A+[JRS]|[RS]|M?V|.)"
 NAMES = {"NP": "Noun Phrase", "ADJP": "Adjective Phrase", "VP": "Verb Phrase"}
+# Tags that key phrases leave out.
 DROPPED = ("DT", "CC", "PRP$", "CD")
 
 
@@ -110,9 +112,18 @@ def feature_strings(tokens: Column, chunk_col: Column) -> dict[str, Column]:
     return {"unigrams": words, "pos": tagged, "chunks": chunked, "combined": F.concat_ws(" || ", words, tagged, chunked)}
 
 
+# The shares of the texts that the study trains on.
 FRACTIONS = (0.25, 0.5, 0.75, 1.0)
 
 
+def study_outcome(scores: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: the best feature set by f1, then accuracy, then the order of the study; or the reason that there is none."""
+    place = F.array_position(F.array(*map(F.lit, ("unigrams", "pos", "chunks", "combined"))), F.col("feature_set"))
+    best = scores.agg(F.max(F.struct("f1", "accuracy", (-F.col("fraction")).alias("early"), (-place).alias("place"), "feature_set", "fraction")).alias("b"), F.count("*").alias("n"))
+    reason = F.when(F.col("n") > 0, F.lit(None)).when(F.col("sizes") == 0, "too few texts with a clear sentiment").otherwise("texts of one sentiment only").cast("string")
+    return best.withColumn("sizes", sizes.agg(F.count("*")).scalar()).select(F.col("b.feature_set").alias("feature_set"), F.col("b.fraction").alias("fraction"), F.col("b.f1").alias("f1"), F.col("b.accuracy").alias("accuracy"), reason.alias("reason"))
+
+
 def study_rows(df: DataFrame, tokens_col: str, label_col: str, id_col: str) -> DataFrame:
     """Positive and negative rows, of equal token lists the one with the least id."""
     rows = df.where(F.col(label_col).isin("positive", "negative"))
@@ -126,37 +137,38 @@ def study_sizes(rows: DataFrame, least: int = 12) -> DataFrame:
     return n.select(F.inline(sized))
 
 
-def study_scores(df: DataFrame, tokens_col: str, label_col: str, id_col: str, fractions: tuple[float, ...] = FRACTIONS, iterations: int = 50) -> DataFrame:
-    """(feature_set, fraction, train_size, accuracy, f1, vocabulary): each representation at each size.
+def study_scores(df: DataFrame, tokens_col: str, label_col: str, id_col: str, fractions: tuple[float, ...] = FRACTIONS, iterations: int = 600, tolerance: float = 1e-3) -> DataFrame:
+    """(feature_set, fraction, train_size, accuracy, f1, vocabulary): each representation at each size, by its single
+    words and pairs of neighbours.
 
     70 % of a subset, by hash within the label, train a logistic regression on TF-IDF; the rest tests it. Fewer than 12
     texts or a single label give no rows.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
+    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 
     spark = df.sparkSession
     rows = study_rows(df, tokens_col, label_col, id_col).withColumn("tokens", F.split("text", " "))
     rows = rows.withColumn("chunked", chunks(F.col("tokens")))
-    rows = rows.select("*", *(c.alias(f"f_{n}") for n, c in feature_strings(F.col("tokens"), F.col("chunked")).items())).withColumns({"y": (F.col(label_col) == "positive").cast("double"), "order": F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1e6, "side": F.pmod(F.xxhash64(F.lit("side"), id_col), F.lit(10))}).drop("chunked").persist()
+    grams = lambda ws: F.concat(ws, F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.slice(ws, 1, 0)))
+    forms = {n: let(F.filter(F.split(c, r"\s+"), lambda w: w != ""), grams).alias(f"f_{n}") for n, c in feature_strings(F.col("tokens"), F.col("chunked")).items()}
+    sides = {"y": (F.col(label_col) == "positive").cast("double"), "order": F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1e6, "side": F.pmod(F.xxhash64(F.lit("side"), id_col), F.lit(10))}
+    rows = checkpointed(rows.select(*(c.alias(n) for n, c in sides.items()), *forms.values()))
     out = []
-    try:
-        counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-        if sum(counts.values()) >= 12 and len(counts) == 2:
-            for fraction in fractions:
-                part = rows.where(F.col("order") < fraction) if fraction < 1 else rows
-                train, test = part.where("side < 7"), part.where("side >= 7")
-                sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
-                if len(sizes) < 2:
-                    continue
-                weight = F.when(F.col("y") == 1, sum(sizes.values()) / (2 * sizes[1.0])).otherwise(sum(sizes.values()) / (2 * sizes[0.0]))
-                for name in ("unigrams", "pos", "chunks", "combined"):
-                    stages = [RegexTokenizer(inputCol=f"f_{name}", outputCol="w", pattern=r"\s+", toLowercase=False), CountVectorizer(inputCol="w", outputCol="tf", vocabSize=4000), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(labelCol="y", weightCol="weight", maxIter=iterations, regParam=1 / (4 * max(1, sum(sizes.values()))), standardization=False)]
-                    model = Pipeline(stages=stages).fit(train.withColumn("weight", weight))
-                    r = model.transform(test).agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"), F.sum(F.col("prediction") * F.col("y")).alias("tp"), F.sum("prediction").alias("p"), F.sum("y").alias("t")).first()
-                    f1 = 2 * (r["tp"] or 0) / ((r["p"] or 0) + (r["t"] or 0)) if (r["p"] or 0) + (r["t"] or 0) else 0.0
-                    out.append((name, float(fraction), int(sum(sizes.values())), float(r["accuracy"] or 0), float(f1), len(model.stages[1].vocabulary)))
-    finally:
-        rows.unpersist()
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if sum(counts.values()) >= 12 and len(counts) == 2:
+        for fraction in fractions:
+            part = rows.where(F.col("order") < fraction) if fraction < 1 else rows
+            train, test = part.where("side < 7"), part.where("side >= 7")
+            sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+            if len(sizes) < 2:
+                continue
+            weight = F.when(F.col("y") == 1, sum(sizes.values()) / (2 * sizes[1.0])).otherwise(sum(sizes.values()) / (2 * sizes[0.0]))
+            for name in ("unigrams", "pos", "chunks", "combined"):
+                stages = [CountVectorizer(inputCol=f"f_{name}", outputCol="tf", vocabSize=4000), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(labelCol="y", weightCol="weight", maxIter=iterations, tol=tolerance, regParam=1 / (4 * max(1, sum(sizes.values()))), standardization=False)]
+                model = Pipeline(stages=stages).fit(train.withColumn("weight", weight))
+                r = model.transform(test).agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"), F.sum(F.col("prediction") * F.col("y")).alias("tp"), F.sum("prediction").alias("p"), F.sum("y").alias("t")).first()
+                f1 = 2 * (r["tp"] or 0) / ((r["p"] or 0) + (r["t"] or 0)) if (r["p"] or 0) + (r["t"] or 0) else 0.0
+                out.append((name, float(fraction), int(sum(sizes.values())), float(r["accuracy"] or 0), float(f1), len(model.stages[0].vocabulary)))
     return spark.createDataFrame(out, "feature_set string, fraction double, train_size long, accuracy double, f1 double, vocabulary long")

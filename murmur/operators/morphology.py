@@ -7,6 +7,7 @@ Everything is computed on distinct words and joined back, as a corpus has far fe
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from murmur.storage import checkpointed
@@ -90,7 +91,7 @@ def peel(words: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def decompose(words: DataFrame, lexicon: DataFrame, irregular: DataFrame) -> DataFrame:
-    """(word, root, pos, form, affixes, kinds, labels, decomposition) of distinct words.
+    """(word, root, lemma, pos, form, affixes, kinds, labels, decomposition) of distinct words.
 
     ``words`` has a column ``word``; null and non-alphabetic words are left out, repeated ones come once. Lexicon and
     irregular forms are broadcast and must be small, as word lists are.
@@ -131,7 +132,7 @@ def decompose(words: DataFrame, lexicon: DataFrame, irregular: DataFrame) -> Dat
     kinds = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), kind) for c, kind in (("s2", "Derivational"), ("s1", "Derivational"), ("inflection", "Inflectional")))))
     labels = F.array_compact(F.array("l2", "l1", "inflected"))
     return rows.select(
-        "word", "root", F.coalesce(forced, F.element_at(named, guess), F.lit("Noun")).alias("pos"), "form", affixes.alias("affixes"), kinds.alias("kinds"), labels.alias("labels"),
+        "word", "root", F.col("bare").alias("lemma"), F.coalesce(forced, F.element_at(named, guess), F.lit("Noun")).alias("pos"), "form", affixes.alias("affixes"), kinds.alias("kinds"), labels.alias("labels"),
         F.when(F.col("is_irregular"), F.concat("root", F.lit(" → "), "word")).otherwise(F.array_join(F.concat(F.array("root"), affixes), " + ")).alias("decomposition"),
     )
 
@@ -186,8 +187,9 @@ def token_counts(df: DataFrame, tokens: Column, id_col: str) -> DataFrame:
 
 
 def analysed(counts: DataFrame, lexicon: DataFrame, irregular: DataFrame) -> DataFrame:
-    """The counts with the decomposition of each word."""
-    return counts.join(decompose(counts.select("word"), lexicon, irregular), "word")
+    """The counts with the decomposition of each word, written once: one row for each distinct word, read several times."""
+    counts = checkpointed(counts)
+    return checkpointed(counts.join(decompose(counts.select("word"), lexicon, irregular), "word"))
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -215,8 +217,8 @@ def affix_breakdown(rows: DataFrame, k: int = 6) -> DataFrame:
 
 def pos_breakdown(rows: DataFrame) -> DataFrame:
     """(pos, count, share) over all tokens."""
-    total = rows.agg(F.sum("count")).scalar()
-    return rows.groupBy("pos").agg(F.sum("count").alias("count")).withColumn("share", F.round(F.col("count") * 100 / total, 1))
+    counts = rows.groupBy("pos").agg(F.sum("count").alias("count"))
+    return counts.withColumn("share", F.round(F.col("count") * 100 / F.sum("count").over(W.partitionBy()), 1))
 
 
 def top_forms(rows: DataFrame, k: int = 8) -> DataFrame:
@@ -224,3 +226,24 @@ def top_forms(rows: DataFrame, k: int = 8) -> DataFrame:
     total = rows.agg(F.sum("count")).scalar()
     top = rows.orderBy(F.desc("count"), "first").limit(k)
     return top.select("word", "root", "pos", "form", F.array_join("affixes", " ").alias("affixes"), "decomposition", "count", F.round(F.col("count") * 100 / total, 1).alias("share"))
+
+
+def normalised(rows: DataFrame, dimension: DataFrame, column: str, id_col: str = "row_id") -> DataFrame:
+    """(id_col, column): the tokens of ``rows`` (id_col, at, word) with each word replaced by the dimension's column, joined."""
+    joined = rows.join(dimension.select("word", column), "word").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", column))).alias("rs"))
+    return joined.select(id_col, F.array_join(F.transform("rs", lambda r: r[column]), " ").alias(column))
+
+
+def forms_of(word: str, lexicon: DataFrame, irregular: DataFrame) -> DataFrame:
+    """The forms of one word's root, as from ``word_forms``, with the word's own analysis (``word``, ``decomposition``) beside them.
+
+    The word must be letters only, at most 40 of them; else ValueError. One that neither is in the lexicon nor leads to a
+    root in it gives LookupError.
+    """
+    if not word.isalpha() or len(word) > 40:
+        raise ValueError("a word has 1 to 40 letters and nothing else")
+    found = checkpointed(decompose(lexicon.sparkSession.createDataFrame([(word,)], "word string"), lexicon, irregular))
+    if not found.join(lexicon.select(F.col("word").alias("root")).distinct(), "root", "left_semi").take(1):
+        raise LookupError(f"no analysis of {word!r}")
+    forms = word_forms(found.select("root", "pos"), lexicon.select("word"))
+    return forms.join(F.broadcast(found.select("root", "word", "decomposition")), "root").orderBy("place")

@@ -113,3 +113,9 @@ def trend_chart(trends: DataFrame, positive: Column) -> DataFrame:
     peak = F.max("v").over(W.partitionBy())
     value = F.when(peak > 0, F.bround(positive * (0.72 + 0.45 * F.col("v") / peak))).otherwise(positive + F.col("offset"))
     return joined.select("time", value.cast("long").alias("value"))
+
+
+def trend_lift(trends: DataFrame) -> DataFrame:
+    """(rank, phrase, lift): by how many percent the last bucket differs from the first, to one digit; null where that is 0."""
+    first, last = F.element_at("series", 1), F.element_at("series", -1)
+    return trends.select("rank", "phrase", F.round(F.try_divide((last - first) * 100, first), 1).alias("lift"))

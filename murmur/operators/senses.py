@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from murmur.functions.text import let
@@ -65,6 +66,23 @@ def sense_scores(found: DataFrame, senses: DataFrame, id_col: str = "row_id") ->
     return rows.select(id_col, "at", "word", "target", "total", F.posexplode(ranked).alias("place", "s")).select(id_col, "at", "word", "target", F.col("s.sense").alias("sense"), F.col("s.rank").cast("long").alias("rank"), F.round(F.exp(-F.col("s.minus")) / F.col("total"), 6).alias("probability"), (F.col("place") + 1).cast("long").alias("place"))
 
 
+def disambiguate(scored: DataFrame, senses: DataFrame, id_col: str = "row_id", others: int = 3) -> DataFrame:
+    """(id_col, at, word, sense, gloss, confidence, margin, alternatives): the likeliest sense of each hit, the first part of
+    its gloss, how far it leads the second, and the next senses with their probabilities."""
+    order = F.array_sort(F.collect_list(F.struct("place", "sense", "probability")))
+    hits = scored.groupBy(id_col, "at", "word", "target").agg(order.alias("s"))
+    shown = F.array_join(F.transform(F.slice("s", 2, others), lambda x: F.concat(x["sense"], F.lit(" "), F.format_number(x["probability"], 3))), ", ")
+    best = hits.select(id_col, "at", "word", F.col("s")[0]["sense"].alias("sense"), F.round(F.col("s")[0]["probability"], 3).alias("confidence"), F.round(F.col("s")[0]["probability"] - F.coalesce(F.get("s", F.lit(1))["probability"], F.lit(0.0)), 3).alias("margin"), shown.alias("alternatives"))
+    return best.join(F.broadcast(senses.select("sense", F.substring_index("gloss", ";", 1).alias("gloss"))), "sense")
+
+
+def breakdown(scored: DataFrame, k: int = 4) -> DataFrame:
+    """(word, place, sense, count, confidence): the k most frequent senses of each surface word, the first by name on ties."""
+    per = scored.where("place = 1").groupBy("word", "sense").agg(F.count("*").alias("count"), F.round(F.avg("probability"), 3).alias("confidence"))
+    place = F.row_number().over(W.partitionBy("word").orderBy(F.desc("count"), "sense"))
+    return per.withColumn("place", place).where(F.col("place") <= k).select("word", F.col("place").cast("long").alias("place"), "sense", "count", "confidence")
+
+
 def report(scored: DataFrame, k: int = 8) -> DataFrame:
     """(word, occurrences, senses, top_sense, confidence): the k surface words with most occurrences, alphabetically on ties."""
     best = scored.where("place = 1")

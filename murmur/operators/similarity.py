@@ -17,8 +17,8 @@ from murmur.operators.chunking import singular
 from murmur.operators.ordering import with_index
 from murmur.storage import checkpointed
 
-#: Rows that one greedy pass sees.
-BLOCK = 2_000
+#: Rows that one greedy pass sees, which bounds a task; values with fewer rows are grouped by one exact pass.
+BLOCK = 20_000
 
 
 def folded_features(tokens: Column, stop: Sequence[str]) -> Column:
@@ -52,8 +52,10 @@ def similar_pairs(df: DataFrame, features: Column, id_col: str = "row_id", thres
     vectors = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("ws"))
     vectors = vectors.select("id", F.transform("ws", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
     vectors = checkpointed(vectors)
-    # the share of the squared norm before each place; a term is in the prefix while the rest still reaches the threshold
-    limit = 1 - threshold * threshold + 1e-9
+    # the share of the squared norm before each place; a term is in the prefix while the rest still reaches the threshold,
+    # less the half of the last digit that the result is rounded to
+    least = threshold - 1e-6
+    limit = 1 - least * least + 1e-9
     sums = F.aggregate("v", F.array(F.lit(0.0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x["w"] * x["w"]))
     prefix = vectors.select("id", F.transform(F.filter(F.arrays_zip(F.col("v"), F.slice(sums, 1, F.size("v")).alias("s")), lambda z: z["s"] <= limit), lambda z: z["v"]["term"]).alias("p")).select("id", F.explode("p").alias("term"))
     pairs = prefix.select(F.col("id").alias("a"), "term").join(prefix.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()

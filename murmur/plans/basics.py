@@ -177,18 +177,29 @@ def phrase_trends(spark, folder):
     return _trends(spark, folder).withColumn("series", F.array_join(F.col("series").cast("array<string>"), ","))
 
 
+def trend_lift(spark, folder):
+    return ngrams.trend_lift(_trends(spark, folder))
+
+
 def trend_chart(spark, folder):
     positive = sentiment.headline_metrics(labelled(spark, folder)).select("positive").scalar()
     return ngrams.trend_chart(_trends(spark, folder), positive)
 
 
+def corpus_trends(spark, folder):
+    """By time where every comment has one, else by place."""
+    rows = labelled(spark, folder).withColumn("sentences", tx.sentence_tokens(F.col("text"), stop_words(spark, folder)))
+    trends = ngrams.phrase_trends(ngrams.corpus_buckets(rows, "published_at", "row_id"), F.col("sentences"), F.col("label"))
+    return trends.withColumn("series", F.array_join(F.col("series").cast("array<string>"), ","))
+
+
 def stratified_sample(spark, folder):
     return sampling.stratified_sample(labelled(spark, folder).select("row_id", "label"), "label", "row_id")
 
 
 QUERIES = {f.__name__: f for f in (
     clean_text, tokenize_full, tokenize_surface, sentence_tokens, named_tokens, duplicate_rate, url_parse, video_titles, demo_metrics, comment_feed, feed_page, sentiment_label, sentiment_mix, headline_metrics, summary_candidates, summary, tfidf_keywords,
-    simple_keywords, block_topics, lda_topics, top_unigrams, top_bigrams, top_trigrams, ngram_summary, phrase_coverage, time_buckets, sequential_buckets, phrase_trends, trend_chart, stratified_sample,
+    simple_keywords, block_topics, lda_topics, top_unigrams, top_bigrams, top_trigrams, ngram_summary, phrase_coverage, time_buckets, sequential_buckets, phrase_trends, trend_lift, corpus_trends, trend_chart, stratified_sample,
 )}
 
 _FEED = f"""with {q.BASE}, feed as (
@@ -208,6 +219,10 @@ trends as (
     select rank, phrase, sum(n)::bigint as documents, list(n order by bucket) as series, sum(pos) as pos, sum(neg) as neg,
         (sum(n) filter (bucket >= 6) - sum(n) filter (bucket < 2))::double / greatest(sum(n) filter (bucket < 2), 1) as m
     from dense group by rank, phrase)"""
+_ALL_TIMED = """ends as (select min(epoch_us(published_at)) as low, max(epoch_us(published_at)) as high, count(*) = count(published_at) as complete, count(*) as n from comments),
+placed as (select row_id, published_at, row_number() over (order by row_id) - 1 as i from comments),
+bucketed as (select row_id, case when complete then least(7, floor((epoch_us(published_at) - low)::double / case when high > low then high - low else 1 end * 8))::bigint else least(7, i // greatest(1, n // 8))::bigint end as bucket from placed, ends)"""
+_ALL_TRENDS = _TRENDS.replace(_TIMED, _ALL_TIMED)
 _METRICS = """metrics as (
     select comments, round_even(p * 100.0 / greatest(comments, 1), 0)::bigint as positive, round_even(n * 100.0 / greatest(comments, 1), 0)::bigint as negative
     from (select count(*) as comments, count(*) filter (label = 'positive') as p, count(*) filter (label = 'negative') as n from base))"""
@@ -237,6 +252,11 @@ SQL = {
     "headline_metrics": f"with {q.BASE}, {_METRICS} select *, 100 - positive - negative as neutral, round(comments / 100.0, 1)::double as engagement from metrics",
     "summary_candidates": f"""with {q.BASE}, s as (select row_id, polarity, len(list_filter(list_transform(string_split_regex(text, '[.!?…]+|\\n+'), lambda p: trim(p)), lambda p: p <> '')) as n from base where text is not null)
         select row_id, round(n + polarity, 6) as score, n as sentences from s order by round(n + polarity, 6) desc, row_id limit 9""",
+    "summary": f"""with {q.BASE}, c as (select row_id, polarity, text, len(list_filter(list_transform(string_split_regex(text, '[.!?…]+|\\n+'), lambda p: trim(p)), lambda p: p <> '')) as n from base where text is not null),
+        best as (select text, row_id, round(n + polarity, 6) as score from c order by round(n + polarity, 6) desc, row_id limit 9),
+        j as (select coalesce(string_agg(text, ' ' order by score desc, row_id), '') as whole from best),
+        k as (select whole, list_filter(list_transform(string_split_regex(whole, '[.!?…]+|\\n+'), lambda p: trim(p)), lambda p: p <> '') as s from j)
+        select case when trim(whole) = '' then 'No comments to summarize.' when len(s) = 0 then left(whole, 300) else array_to_string(s[1:3], '. ') end as summary from k""",
     "tfidf_keywords": f"""with {q.STOP}, w as (select row_id, unnest(list_filter(regexp_extract_all({q.clean('text')}, '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda t: not list_contains(stop, t))) as term from comments, stopping where text is not null),
         tf as (select row_id, term, count(*) as tf from w group by all),
         voc as (select term, sum(tf) as c, count(*) as df from tf group by term order by c desc, term limit 500),
@@ -260,6 +280,10 @@ SQL = {
     "phrase_trends": f"""with {_TRENDS} select rank, phrase, documents as count, documents, array_to_string(series, ',') as series, round(m, 2) as momentum,
         case when m > 0.2 then 'rising' when m < -0.2 then 'cooling' else 'steady' end as direction,
         case when pos = 0 and neg = 0 then 'neutral' when pos >= 2 * neg then 'positive' when neg >= 2 * pos then 'negative' else 'mixed' end as stance from trends""",
+    "trend_lift": f"with {_TRENDS} select rank, phrase, round((series[-1] - series[1]) * 100.0 / nullif(series[1], 0), 1) as lift from trends",
+    "corpus_trends": f"""with {_ALL_TRENDS} select rank, phrase, documents as count, documents, array_to_string(series, ',') as series, round(m, 2) as momentum,
+        case when m > 0.2 then 'rising' when m < -0.2 then 'cooling' else 'steady' end as direction,
+        case when pos = 0 and neg = 0 then 'neutral' when pos >= 2 * neg then 'positive' when neg >= 2 * pos then 'negative' else 'mixed' end as stance from trends""",
     "trend_chart": f"""with {_TRENDS}, {_METRICS}, slots(i, time, off) as (values {_HOURS}),
         lead as (select row_number() over (order by documents desc, rank) - 1 as i, series from trends),
         p as (select s.i, s.time, s.off, coalesce(l.series[s.i + 1], 0) as v from slots s left join lead l on l.i = s.i)

@@ -48,9 +48,18 @@ def word_forms(spark, folder):
 def root_normalize(spark, folder):
     """Each comment's tokens replaced by their roots: the tokens meet the dimension of distinct words, then form rows again."""
     rows = labelled(spark, folder).select("row_id", F.posexplode("tokens").alias("at", "word"))
-    dimension = m.decompose(rows.select("word"), *_lexicon(spark)).select("word", "root")
-    normal = rows.join(dimension, "word").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "root"))).alias("rs"))
-    return normal.select("row_id", F.array_join(F.transform("rs", lambda r: r["root"]), " ").alias("roots"))
+    return m.normalised(rows, m.decompose(rows.select("word"), *_lexicon(spark)), "root").withColumnRenamed("root", "roots")
+
+
+def preprocess(spark, folder):
+    """Each comment as one string of lemmas of its content tokens."""
+    rows = labelled(spark, folder).select("row_id", F.posexplode("tokens").alias("at", "word"))
+    return m.normalised(rows, m.decompose(rows.select("word"), *_lexicon(spark)), "lemma").withColumnRenamed("lemma", "lemmas")
+
+
+def forms_of_word(spark, folder):
+    """The forms of one word that is looked up, here "watching"."""
+    return m.forms_of("watching", *_lexicon(spark)).select("word", "decomposition", "root", "form", "label", "rule")
 
 
 def morph_summary(spark, folder):
@@ -73,7 +82,7 @@ def pos_breakdown(spark, folder):
     return m.pos_breakdown(_analysed(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (stem_candidates, apply_affix, morph_decompose, word_forms, root_normalize, morph_summary, top_forms, top_roots, affix_breakdown, pos_breakdown)}
+QUERIES = {f.__name__: f for f in (stem_candidates, apply_affix, morph_decompose, word_forms, root_normalize, preprocess, forms_of_word, morph_summary, top_forms, top_roots, affix_breakdown, pos_breakdown)}
 
 _TOKENS = f"{q.BASE}, occ as (select row_id, unnest(tokens) as word, generate_subscripts(tokens, 1) as at_pos from base), cnt as (select word, count(*) as count, min(row_id * 100000 + at_pos) as first from occ group by word), w as (select word from cnt)"
 _RULES = q.values([(n, *r) for n, r in enumerate(m.INFLECTIONS)], "rule, suffix, label, replacement, required", "infl")
@@ -143,7 +152,7 @@ dec1 as (
 guessed as (select root, d.form, arg_min(lex.pos, rank) as pos from (select distinct root, form from dec1) d
     join form_order f on f.form = case when d.form in (select form from form_order) then d.form else '' end join lex on lex.word = d.root and lex.pos = f.pos group by root, d.form),
 dec as (
-    select word, root, coalesce(f1.name, f2.name, n.name, 'Noun') as pos, d.form, affixes, kinds, labels,
+    select word, root, bare as lemma, coalesce(f1.name, f2.name, n.name, 'Noun') as pos, d.form, affixes, kinds, labels,
         case when irregular then root || ' → ' || word else array_to_string(list_prepend(root, affixes), ' + ') end as decomposition
     from dec1 d left join forced f1 on f1.suffix = s1 left join forced f2 on f2.suffix = s2 left join guessed g using (root, form) left join pos_name n on n.pos = g.pos),
 an as (select * from cnt join dec using (word))"""
@@ -181,6 +190,9 @@ SQL = {
         select root, pos, 0::bigint as place, root as form, 'Base form' as label, '' as rule, pos as word_class from best
         union all select root, pos, place::bigint, form, label, rule, chosen from best join made using (root, pos) where word_class = chosen""",
     "root_normalize": f"with {_DECOMPOSE} select row_id, string_agg(root, ' ' order by at_pos) as roots from occ join dec using (word) group by row_id",
+    "preprocess": f"with {_DECOMPOSE} select row_id, string_agg(lemma, ' ' order by at_pos) as lemmas from occ join dec using (word) group by row_id",
+    "forms_of_word": """select 'watching' as word, 'watch + ing' as decomposition, 'watch' as root, form, label, rule
+        from (values ('watch', 'Base form', ''), ('watches', 'Third person singular', '+s'), ('watched', 'Past tense', '+ed'), ('watching', 'Present participle', '+ing')) v(form, label, rule)""",
     "morph_summary": f"""with {_DECOMPOSE} select sum(count)::bigint as tokens_analyzed, count(*) as distinct_forms, count(distinct root) as distinct_roots, coalesce(sum(count) filter (word <> root), 0)::bigint as inflected_tokens,
         round((1 - count(distinct root)::double / count(*)) * 100, 1) as collapse_ratio from an""",
     "top_forms": f"""with {_DECOMPOSE} select word, root, pos, form, array_to_string(affixes, ' ') as affixes, decomposition, count, round(count * 100.0 / (select sum(count) from an), 1) as share from an order by count desc, first limit 8""",

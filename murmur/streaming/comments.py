@@ -48,17 +48,27 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def grouped(stream: DataFrame, features: Column, by: str, id_col: str, threshold: float = 0.30) -> DataFrame:
+def grouped(stream: DataFrame, features: Column, by: str, id_col: str, threshold: float = 0.30, idle_ms: int | None = None) -> DataFrame:
     """(by, id_col, group): each row's greedy group within its value of ``by``, as rows arrive.
 
     A stream knows no document frequencies, so vectors are 1 + ln(tf), normalised. The state of a value is the running sum
-    and count of each of its groups. Rows of one batch are taken by id. Rows of opinion words only form a group for each
-    order of these words.
+    of each of its groups; a row meets only groups that share a subject with it. Rows of one batch are taken by id. Rows of
+    opinion words only form a group for each order of these words. With ``idle_ms``, the groups of a value that got no row
+    for so long are forgotten, and later rows of it begin anew; otherwise state is kept for good.
     """
     schema = f"{by} {stream.schema[by].dataType.simpleString()}, {id_col} {stream.schema[id_col].dataType.simpleString()}, group long"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         groups = json.loads(state.get[0]) if state.exists else []
+        squares = [sum(x * x for x in total.values()) for total in groups]
+        holding: dict[str, set[int]] = {}
+        for g, total in enumerate(groups):
+            for t in total:
+                holding.setdefault(t, set()).add(g)
+        opinions = {tuple(total): g for g, total in reversed(list(enumerate(groups)))}
         rows = pd.concat(list(frames)).sort_values(id_col)
         ids, chosen = [], []
         for row_id, words in zip(rows[id_col], rows["features"], strict=True):
@@ -70,22 +80,28 @@ def grouped(stream: DataFrame, features: Column, by: str, id_col: str, threshold
             best, score = -1, threshold
             if not subjects:
                 # as groups of equal label are one in the end, rows of the same opinions share one
-                best = next((g for g, total in enumerate(groups) if list(total) == list(v)), -1)
-            for g, total in enumerate(groups):
-                if any(t in total for t in subjects):
-                    length = math.sqrt(sum(x * x for x in total.values()))
-                    s = sum(x / norm * total.get(t, 0.0) for t, x in v.items()) / length
-                    if s > score or (best < 0 and s >= threshold):
-                        best, score = g, s
+                best = opinions.get(tuple(v), -1)
+            for g in sorted({g for t in subjects for g in holding.get(t, ())}):
+                total = groups[g]
+                s = sum(x / norm * total.get(t, 0.0) for t, x in v.items()) / math.sqrt(squares[g])
+                if s > score or (best < 0 and s >= threshold):
+                    best, score = g, s
             if best < 0:
                 groups.append({})
+                squares.append(0.0)
                 best = len(groups) - 1
+                opinions.setdefault(tuple(v), best)
             for t, x in v.items():
-                groups[best][t] = groups[best].get(t, 0.0) + x / norm
+                old, more = groups[best].get(t, 0.0), x / norm
+                groups[best][t] = old + more
+                squares[best] += more * (2 * old + more)
+                holding.setdefault(t, set()).add(best)
             ids.append(row_id)
             chosen.append(best)
         state.update((json.dumps(groups),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({by: [key[0]] * len(ids), id_col: ids, "group": chosen})
 
     rows = stream.select(by, id_col, features.alias("features"))
-    return rows.groupBy(by).applyInPandasWithState(run, schema, "groups string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(by).applyInPandasWithState(run, schema, "groups string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

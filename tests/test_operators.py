@@ -127,6 +127,39 @@ def _entities(spark, texts):
     return out
 
 
+def test_study_on_few_and_on_clear_texts(spark):
+    rows = [(i, f"{w} {n} {i}".split(), label) for i, (w, label) in enumerate([("great fine", "positive"), ("poor dull", "negative")] * 12) for n in ["sound"]]
+    frame = spark.createDataFrame(rows, "row_id long, tokens array<string>, label string")
+    scores = chunking.study_scores(frame, "tokens", "label", "row_id", fractions=(1.0,), iterations=20)
+    sizes = chunking.study_sizes(chunking.study_rows(frame, "tokens", "label", "row_id"))
+    got = {r["feature_set"]: r for r in scores.collect()}
+    assert set(got) == {"unigrams", "pos", "chunks", "combined"} and got["unigrams"]["f1"] == 1.0 and got["unigrams"]["vocabulary"] > 24
+    assert chunking.study_outcome(scores, sizes).first()["reason"] is None
+    few = chunking.study_scores(frame.limit(3), "tokens", "label", "row_id")
+    assert few.count() == 0
+    assert "few" in chunking.study_outcome(few, chunking.study_sizes(frame.limit(3).select("tokens", "label"))).first()["reason"]
+
+
+def test_forms_of_a_word(spark):
+    lexicon = lexicons.frame(spark, lexicons.LEXICON, "word string, pos string"), lexicons.frame(spark, lexicons.IRREGULAR, "form string, lemma string, pos string")
+    assert [r["form"] for r in morphology.forms_of("watching", *lexicon).collect()] == ["watch", "watches", "watched", "watching"]
+    for word, error in (("two words", ValueError), ("x1", ValueError), ("a" * 41, ValueError), ("", ValueError), ("zzyzx", LookupError)):
+        with pytest.raises(error):
+            morphology.forms_of(word, *lexicon)
+
+
+def test_tag_text(spark):
+    assert [(x["token"], x["tag"]) for x in one(spark, "The tutorial is extremely useful.", pos.tag_text)] == [("the", "DT"), ("tutorial", "JJ"), ("is", "VBZ"), ("extremely", "RB"), ("useful", "JJ")]
+    assert one(spark, "", pos.tag_text) == []
+
+
+def test_sections_in_one_frame_and_on_disk(spark, tmp_path):
+    sections = {"a": spark.createDataFrame([(1, None)], "x int, y string"), "b": spark.range(2)}
+    assert sorted(r["section"] for r in report.union(sections).collect()) == ["a", "b", "b"]
+    report.export(sections, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s/b")).count() == 2
+
+
 def test_entities_that_must_appear(spark):
     cases = [
         ("I learned Python from this tutorial", "Python", "Technology"), ("Microsoft released a new update", "Microsoft", "Organization"), ("Dr Sarah Chen explained the model", "Dr Sarah Chen", "Person"), ("Sarah Chen uploaded this", "Sarah Chen", "Person"),
@@ -197,12 +230,12 @@ def test_redundancy_of_discussions(spark, tmp_path, empty_tables):
     comments = [(i, 1, i, "v", "a", t, 0, None, None) for i, t in enumerate(texts)]
     folder = write_tables(spark, tmp_path / "t", {"comments": comments, "polarity": [("poor", -0.9), ("terrible", -0.9), ("bad", -0.9)], "stop_word": [(w,) for w in ("the", "is", "was", "very")]})
     sizes = [3, 2]
-    (row,) = meaning.discussion_redundancy(spark, folder).collect()
+    (row,) = meaning.redundancy(spark, folder).collect()
     assert row.asDict() == {"grouped": sum(sizes), "groups": len(sizes), "redundant": sum(sizes) - len(sizes), "compression": 50.0, "redundant_pairs": sum(n * (n - 1) // 2 for n in sizes)}
     got = {r["label"]: (r["size"], r["sentiment"], r["positive"], r["neutral"], r["negative"]) for r in meaning.discussion_sentiment(spark, folder).collect()}
     assert got == {"Audio Quality": (3, "negative", 0, 0, 3), "Kettle Lamp": (2, "neutral", 0, 2, 0)}
-    assert report.SECTIONS["redundancy"] == "discussion_redundancy"
-    assert [r["grouped"] for r in meaning.discussion_redundancy(spark, empty_tables).collect()] == [0]
+    assert report.SECTIONS["redundancy"] == "redundancy"
+    assert [r["grouped"] for r in meaning.redundancy(spark, empty_tables).collect()] == [0]
 
 
 def test_blocks_give_the_groups_of_one_pass(spark):
