@@ -351,7 +351,7 @@ class Batch:
         return [((code.astype(np.uint64) * np.uint64(512) + np.uint64(number + k)) * _MIX >> shift).astype(np.int32) for k, code in enumerate(codes)]
 
 
-def scored(batch: Batch, model: Model, block: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def scored(batch: Batch, model: Model, block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First token, last token, kind from 1 and score of every span that the best reading may hold."""
     follow = model.follow
     gain = [(follow[:, k] - follow[:, 0]).max() + (follow[k, :] - follow[0, :]).max() for k in range(len(KINDS) + 1)]
