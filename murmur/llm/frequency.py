@@ -47,8 +47,8 @@ def term_relevance(df: DataFrame, id_col: str = "row_id", text_col: str = "text"
     terms = held.select(F.col(id_col), F.size("__words").alias(length), F.inline(term_counts(F.col("__words"))))
     records = terms.groupBy("term").agg(F.count("*").alias("records"))
     stats = df.select(F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).alias("size"))
-    whole = stats.agg(F.struct(F.count("*").alias("n"), F.avg("size").alias("mean"))).scalar()
-    n, mean = whole["n"], whole["mean"]
+    # two queries, as the number of rows needs no words and the mean no more than where the score is asked for
+    n, mean = df.agg(F.count("*")).scalar(), stats.agg(F.avg("size")).scalar()
     often = records.where(F.col("records") > F.lit(float(frequent)) * n)
     seldom = records.where(F.col("records") <= F.lit(float(frequent)) * n)
     idf = F.log(1 + (n - F.col("records") + 0.5) / (F.col("records") + 0.5))
