@@ -9,6 +9,7 @@ between neighbours.  For a given number of pieces that sum is least where their
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,11 @@ PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 0.0, 0.5, 1.0, 3.0, 6.0, 20.0
 BALANCE = 4.0
 #: A piece but the last brings at least this part of limit - overlap in new tokens.
 LEAST = 8
-HAS_INNER = 1000.0
+HAS_INNER, WIDE = 1000.0, 10000.0
 _SENTENCE_ENDS = ".!?…。！？"
 _CLAUSE_ENDS = ",;:)，；：、"
+_ENDS = _SENTENCE_ENDS + _CLAUSE_ENDS
+_INNER = re.compile(f"[\n{re.escape(_ENDS)}]")
 
 
 class Planner:
@@ -45,9 +48,27 @@ class Planner:
         # by tokens that an overlap grows by: block position by window position, the window being the step before the block
         fresh = np.arange(self.least)[:, None] + self.step - np.arange(self.step)[None, :]
         fits = (fresh >= self.least) & (fresh <= self.step)
-        self.tables = np.stack([np.where(fits, self.price[np.minimum(fresh + overlap + more, limit + 3)], np.inf) for more in range(4)])
-        self.turned = np.ascontiguousarray(self.tables[0].T)
-        self.reached = np.arange(self.step) < self.least
+        tables = [np.where(fits, self.price[np.minimum(fresh + overlap + more, limit + 3)], np.inf) for more in range(4)]
+        self.turned = np.ascontiguousarray(np.stack(tables).transpose(0, 2, 1))
+        # the most and the least that a window position costs over the block, without growth and with any
+        self.bounds = [(t.max(axis=(0, 2)), t.min(axis=(0, 2))) for t in (self.turned[:1], self.turned)]
+
+    def worth(self, before: np.ndarray, uneven: bool) -> np.ndarray:
+        """Window positions that may give a place of the block its least cost, by the costs up to the window's cuts."""
+        most, fewest = self.bounds[uneven]
+        # a cut counts only if it may come below what some cut gives for every place of the block
+        bound, at_best = np.minimum.reduce(before + most), before + fewest
+        kept = (at_best <= bound if bound < np.inf else at_best < np.inf).nonzero()[0]
+        if len(kept) > 24:
+            # nor if one before it, which the whole block can reach, costs no more, as that one's piece is the fuller; with
+            # growth, up to three tokens, it is that if it is three tokens before
+            growth, back = (3, 3) if uneven else (0, 1)
+            costs = before.take(kept)
+            first = min(int(kept.searchsorted(self.least - 1 + growth)), len(kept) - back)
+            count = np.ones(len(kept), bool)
+            count[first + back :] = costs[first + back :] < np.minimum.accumulate(costs[first:-back])
+            kept = kept[count]
+        return kept
 
     def plan(self, penalties: np.ndarray, more: np.ndarray) -> list[int]:
         """Ends of the pieces, in tokens, the last one being the text's end.
@@ -63,22 +84,15 @@ class Planner:
         grown = np.zeros(step + total + 1, np.int64)
         grown[step:] = more
         uneven = bool(more.any())
+        even = self.turned[0]
         lowest = max(least, self.overlap + 1)
         for at in range(lowest, total, least):
             end = min(at + least, total)
             before = best[at : at + step]
-            odd = ()
-            if uneven and (window := grown[at : at + step]).any():
-                odd = np.flatnonzero(window)
-                whole, before = before, before.copy()
-                before[odd] = np.inf
-            # a cut that the whole block can reach makes later ones of no lower cost needless, as its piece is the fuller
-            kept = self.reached & (before < np.inf)
-            kept[least:] = before[least:] < np.minimum.accumulate(before[least - 1 : -1])
-            kept = kept.nonzero()[0]
-            value = (self.turned[kept, : end - at] + before[kept, None]).min(axis=0, initial=np.inf)
-            if len(odd):
-                value = np.minimum(value, (self.tables[window[odd], : end - at, odd] + whole[odd, None]).min(axis=0))
+            kept = self.worth(before, uneven)
+            costs = before.take(kept)
+            prices = self.turned[grown[at : at + step].take(kept), kept] if uneven else even.take(kept, axis=0)
+            value = np.minimum.reduce(prices + costs[:, None], axis=0, initial=np.inf)[: end - at]
             if at <= limit:
                 # the first piece has no overlap
                 value = np.minimum(value, self.price[np.minimum(np.arange(at, end), limit + 3)])
@@ -97,7 +111,8 @@ class Planner:
 
 
 class _Marks(dict):
-    """By span: the penalty of a cut after it, with HAS_INNER on top if there are cuts inside, which are in ``inner``."""
+    """By span: the penalty of a cut after it, with HAS_INNER on top if there are cuts inside, which are in ``inner``, and
+    WIDE if it has characters of several bytes."""
 
     def __init__(self, encoder):
         super().__init__()
@@ -105,23 +120,30 @@ class _Marks(dict):
 
     def __missing__(self, span: str) -> float:
         last = span.rstrip("\"'”’»")[-1:]
-        self[span] = after = WORD if not last else SENTENCE if last in _SENTENCE_ENDS else CLAUSE if last in _CLAUSE_ENDS else WORD
+        self[span] = after = (WORD if not last else SENTENCE if last in _SENTENCE_ENDS else CLAUSE if last in _CLAUSE_ENDS else WORD) + (0.0 if span.isascii() else WIDE)
         if span.isalpha() or span[:-1].isalpha() and span.isascii():
             return after
-        found, tokens = [], 0
+        plain = not _INNER.search(span, 0, len(span) - 1)
+        if plain and len(span) < 6:
+            return after
         words = self.encoder.words(" " + span)
-        run = 0
-        for k, word in enumerate(words[:-1]):
-            if word not in self.encoder.known:
-                self.encoder._contract([word])
-            tokens += len(self.encoder.known[word])
-            # the line feeds of a whole run of blank words count together, at its end
-            run = run + word.count("\n") if word.isspace() else 0
-            breaks = 0 if words[k + 1].isspace() else run
-            if word.isspace() and not breaks:
-                continue
-            if breaks or len(words) > 6 or word[-1] in _SENTENCE_ENDS + _CLAUSE_ENDS:
-                found.append((tokens, PARAGRAPH if breaks > 1 else LINE if breaks else SENTENCE if word[-1] in "。！？" else CLAUSE if word[-1] in "，；：、" else INSIDE / 2))
+        if plain and len(words) <= 6:
+            return after
+        known = self.encoder.known
+        if missing := [word for word in words[:-1] if word not in known]:
+            self.encoder._contract(missing)
+        found, tokens, run, many = [], 0, 0, len(words) > 6
+        for word, following in itertools.pairwise(words):
+            tokens += len(known[word])
+            if word.isspace():
+                # the line feeds of a whole run of blank words count together, at its end
+                run += word.count("\n")
+                if run and not following.isspace():
+                    found.append((tokens, PARAGRAPH if run > 1 else LINE))
+            else:
+                run = 0
+                if many or word[-1] in _ENDS:
+                    found.append((tokens, SENTENCE if word[-1] in "。！？" else CLAUSE if word[-1] in "，；：、" else INSIDE / 2))
         if found:
             self.inner[span] = found
             self[span] = after = after + HAS_INNER
@@ -140,15 +162,18 @@ class Splitter:
 
     def split(self, parts: list[str], ids: list[tuple[int, ...]]) -> list[tuple[int, int]]:
         """(first token, end) of each piece of a text given by its spans."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
+        sizes = list(map(len, ids))
+        total = sum(sizes)
         if total <= self.limit:
             return [(0, total)]
         if len(self.marks) > 200_000:
             self.marks = _Marks(self.encoder)
         penalties = np.full(total + 1, INSIDE)
+        sizes = np.array(sizes)
         ends = np.cumsum(sizes)
         marks = np.fromiter(map(self.marks.__getitem__, parts), np.float64, len(parts))
+        wide = np.flatnonzero(marks >= WIDE)
+        marks[wide] -= WIDE
         parted = np.flatnonzero(marks >= HAS_INNER)
         marks[parted] -= HAS_INNER
         if (sizes == 0).any():
@@ -158,11 +183,20 @@ class Splitter:
         inner = [self.marks.inner[parts[k]] for k in parted]
         places = np.repeat(ends[parted] - sizes[parted], [len(x) for x in inner]) + np.array([t for x in inner for t, _ in x], np.int64)
         penalties[places] = np.minimum(penalties[places], [p for x in inner for _, p in x])
-        begins = np.append(self.begins[np.fromiter(itertools.chain.from_iterable(ids), np.int64, total)], True)
-        penalties[~begins] = np.inf
-        # an overlap reaches back to the start of a character
-        start = np.maximum.accumulate(np.where(begins, np.arange(total + 1), 0))[np.maximum(np.arange(total + 1) - self.overlap, 0)]
-        more = np.maximum(np.arange(total + 1) - self.overlap, 0) - start
+        start = np.maximum(np.arange(total + 1) - self.overlap, 0)
+        more = np.zeros(total + 1, np.int64)
+        # only spans with characters of several bytes have tokens that don't begin one
+        if len(wide):
+            tokens = np.array([t for k in wide.tolist() for t in ids[k]], np.int64)
+            many = sizes[wide]
+            within = (np.arange(len(tokens)) + np.repeat(ends[wide] - np.cumsum(many), many))[~self.begins[tokens]]
+            if len(within):
+                penalties[within] = np.inf
+                # an overlap reaches back to the start of a character
+                begin = np.arange(total + 1)
+                begin[within] = 0
+                whole = np.maximum.accumulate(begin)[start]
+                start, more = whole, start - whole
         pieces = self.planner.plan(penalties, more)
         return [(0 if k == 0 else int(start[pieces[k - 1]]), end) for k, end in enumerate(pieces)]
 

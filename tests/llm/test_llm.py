@@ -297,6 +297,29 @@ def test_cuts_are_the_cheapest():
         assert last == total and abs(cost - best(0)) < 1e-9
 
 
+def test_few_cuts_are_priced():
+    rng = np.random.default_rng(2)
+    planner = splitting.Planner(512, 64)
+    for uneven in (False, True):
+        priced = []
+        for _ in range(200):
+            penalties = rng.choice([1.0, 3.0, 6.0, 20.0], planner.step, p=[0.05, 0.05, 0.7, 0.2])
+            before = np.linspace(2, 3, planner.step) + penalties
+            before[rng.random(planner.step) < 0.1 * uneven] = np.inf
+            grown = rng.integers(0, 4, planner.step) * uneven
+            prices = planner.turned[grown, np.arange(planner.step)] + before[:, None]
+            kept = planner.worth(before, uneven)
+            assert np.array_equal(prices[kept].min(axis=0), prices.min(axis=0))
+            priced.append(len(kept))
+        assert np.mean(priced) < planner.least / 2
+    flat = np.full(planner.step, 6.0)
+    for uneven in (False, True):
+        grown = rng.integers(0, 4, planner.step) * uneven
+        prices = planner.turned[grown, np.arange(planner.step)] + flat[:, None]
+        kept = planner.worth(flat, uneven)
+        assert np.array_equal(prices[kept].min(axis=0), prices.min(axis=0)) and len(kept) < planner.least + 9
+
+
 def test_leaks_like_brute_force(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(12)]
