@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.functions.text import term_counts
 from murmur.lexicons import OPINION, SYNONYMS
+from murmur.operators import pairing
 from murmur.operators.chunking import singular
 from murmur.operators.ordering import with_index
 from murmur.storage import checkpointed
@@ -40,29 +42,27 @@ def similar_pairs(df: DataFrame, features: Column, id_col: str = "row_id", thres
     """(a, b, cosine), a < b: pairs of class representatives whose TF-IDF cosine reaches the threshold; exact.
 
     Rows of equal features are one class first. Terms are ordered from rare to frequent; a pair can only reach the
-    threshold if it shares a term among those of each text that come before the rest's norm falls below it, so only these
-    prefixes are joined, and frequent terms hardly ever are. Candidates are then verified on the whole vectors.
+    threshold if it shares a term among those of each text that come before the rest's norm falls below it, so texts meet
+    by these prefixes only. Each text goes with its whole vector to the keys of its prefix, and the texts of a key are
+    compared there in memory (``pairing.pairs``): no candidates are written, only pairs that reach the threshold.
     """
     bags = df.select(F.col(id_col).alias("id"), F.array_sort(features).alias("f")).where(F.size("f") > 0)
     reps = checkpointed(bags.groupBy("f").agg(F.min("id").alias("id")))
     terms = reps.select("id", F.inline(term_counts(F.col("f"))))
     n = reps.agg(F.count("*")).scalar()
-    df_of = terms.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(df_of, "term").select("id", "term", "df", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    vectors = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("ws"))
-    vectors = vectors.select("id", F.transform("ws", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
-    vectors = checkpointed(vectors)
-    # the share of the squared norm before each place; a term is in the prefix while the rest still reaches the threshold,
+    df_of = with_index(terms.groupBy("term").agg(F.count("*").alias("df")), [F.col("df"), F.col("term")], "place")
+    weighed = terms.join(df_of, "term").select("id", F.col("place").cast("int").alias("place"), ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+    vectors = weighed.where("id is not null").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("v"))
+    vectors = vectors.select("id", F.col("v.place").alias("terms"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"))
     # less the half of the last digit that the result is rounded to
     least = threshold - 1e-6
-    limit = 1 - least * least + 1e-9
-    sums = F.aggregate("v", F.array(F.lit(0.0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x["w"] * x["w"]))
-    prefix = vectors.select("id", F.transform(F.filter(F.arrays_zip(F.col("v"), F.slice(sums, 1, F.size("v")).alias("s")), lambda z: z["s"] <= limit), lambda z: z["v"]["term"]).alias("p")).select("id", F.explode("p").alias("term"))
-    pairs = prefix.select(F.col("id").alias("a"), "term").join(prefix.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")
-    both = left.join(vectors.select(F.col("id").alias("b"), F.map_from_entries(F.col("v")).alias("vb")), "b")
-    dot = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("vb", x["term"]), F.lit(0.0)))
-    return both.select("a", "b", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    kind = vectors.schema["id"].dataType
+    keyed = vectors.mapInArrow(pairing.prefixes(least), T.StructType([T.StructField("key", T.IntegerType()), *vectors.schema.fields]))
+    # a number of its own: by size these few bytes would come together in fewer tasks than there are cores
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * df.sparkSession.sparkContext.defaultParallelism)
+    groups = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    pairs = groups.mapInArrow(pairing.met(least), T.StructType([T.StructField("x", kind), T.StructField("y", kind), T.StructField("dot", T.DoubleType())]))
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("dot", 6).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def group_labels(members: DataFrame, group: str, features_col: str, order_col: str, terms: int = 2) -> DataFrame:

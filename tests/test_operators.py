@@ -273,6 +273,55 @@ def test_similar_pairs_like_brute_force(spark):
     assert set(got) == expected and expected
 
 
+def shuffled(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    metric = plan.metrics().get("shuffleRecordsWritten")
+    return (metric.get().value() if metric.isDefined() else 0) + sum(map(shuffled, below))
+
+
+def test_similar_pairs_write_no_candidates(spark):
+    """The rarest term of 900 texts is one that all of them have, which makes 404,550 candidates, and few are similar."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    bags = [["rare", *rng.sample(words, 7)] for _ in range(900)] + [[f"a{i}", f"b{i}", f"c{i}", *rng.sample(words, 20)] for i in range(1800)]
+    bags += [[*bags[i], bags[i][1]] for i in range(20)]
+    found = similarity.similar_pairs(spark.createDataFrame(list(enumerate(bags)), "row_id long, f array<string>"), F.col("f"))
+    got = {(r["a"], r["b"]) for r in found.collect()}
+    assert {(i, 2700 + i) for i in range(20)} <= got and len(got) < 500
+    assert shuffled(found._jdf.queryExecution().executedPlan()) < 300_000
+
+
+@pytest.mark.parametrize("step, gain, deep, least", [(1 << 17, 4, 3, 0.8), (64, 0, 1, 0.8), (64, 0.1, 5, 0.6), (7, 0, 2, 0.95), (1 << 17, 0, 2, 0.4)])
+def test_pairing_like_brute_force(monkeypatch, step, gain, deep, least):
+    import numpy as np
+    import pyarrow as pa
+
+    from murmur.operators import pairing
+
+    for name, value in {"STEP": step, "GAIN": gain, "DEEP": deep, "MOST": 500 * deep, "ROWS": 30, "TERMS": 300}.items():
+        monkeypatch.setattr(pairing, name, value)
+    rng = np.random.default_rng(step + deep)
+    terms = [np.sort(rng.choice(12 + 300 * (i % 2), rng.integers(1, 12 if i % 9 else 150 if i % 2 else 12), replace=False)) for i in range(260)]
+    weights = [rng.uniform(0.2, 3, len(t)) * (1 + 4 * (rng.random(len(t)) < 0.1)) for t in terms]
+    for i in range(60):
+        terms.append(terms[i])
+        weights.append(weights[i] * rng.uniform(0.8, 1.25, len(terms[i])))
+    weights = [w / np.sqrt(w @ w) for w in weights]
+    dense = np.zeros((len(terms), 312))
+    for row, t, w in zip(dense, terms, weights, strict=True):
+        row[t] = w
+    dots = dense @ dense.T
+    expected = {(f"t{x}", f"t{y}"): dots[x, y] for x in range(len(terms)) for y in range(x + 1, len(terms)) if dots[x, y] >= least}
+    rows = pa.record_batch({"id": [f"t{i}" for i in range(len(terms))], "terms": pa.array(terms, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float64()))})
+    keyed = pa.Table.from_batches(pairing.prefixes(least)([rows.slice(0, 100), rows.slice(100)])).sort_by("key")
+    got = [r for batch in pairing.met(least)(iter(keyed.combine_chunks().to_batches(max_chunksize=11))) for r in batch.to_pylist()]
+    got = {tuple(sorted((r["x"], r["y"]), key=lambda t: int(t[1:]))): r["dot"] for r in got if r["dot"] >= least} if len(got) == len({frozenset((r["x"], r["y"])) for r in got}) else None
+    assert got is not None and got.keys() == expected.keys() and len(got) >= 40
+    assert all(abs(got[k] - expected[k]) < 1e-12 for k in got)
+
+
 def test_senses(spark):
     table = lexicons.frame(spark, [("bank", 1, "bank.money", "a depository for money", "app account transfer"), ("bank", 2, "bank.river", "sloping land beside water", "river fishing grass")], "word string, rank int, sense string, gloss string, cues string")
     rows = spark.createDataFrame([(1, "my bank app lost the account"), (2, "we sat on banks of the river fishing"), (3, None), (4, "")], "row_id long, text string")
