@@ -124,12 +124,27 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return itertools.pairwise([0, *np.flatnonzero(np.diff(values)) + 1, len(values)]) if len(values) else iter(())
 
 
-def prefixes(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: rows (id, terms, weights), terms ascending and weights of norm 1, once with each key that can be their first common term."""
+def tfidf(firsts: np.ndarray, dfs: np.ndarray, n: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Weights of norm 1 from counts, by the rows' starts and terms, where terms are places in the order of document frequency:
+    those from firsts[i] to the next occur in dfs[i] of n rows. There are at most as many such steps as the root of twice all entries."""
+    idf = np.log((1 + n) / (1 + dfs)) + 1
+
+    def weigh(start: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        if not len(term):
+            return np.zeros(0)
+        weight = (1 + np.log(count)) * idf[np.searchsorted(firsts, term, "right") - 1]
+        return weight / np.repeat(np.sqrt(np.add.reduceat(weight * weight, start[:-1])), np.diff(start))
+
+    return weigh
+
+
+def prefixes(least: float, weigh: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: rows (id, terms, weights), terms ascending and weights of norm 1, or counts of which weigh makes these,
+    once with each key that can be their first common term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, term, weight = _lists(batch.column("terms"), batch.column("weights"))
+            start, term, weight = _lists(batch, weigh)
             at = prefix_places(start, weight, least)
             row = np.repeat(np.arange(len(start) - 1), np.diff(start))[at]
             key = term[at].astype(np.int32)
@@ -140,11 +155,11 @@ def prefixes(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def met(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def met(least: float, weigh: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: rows of prefixes() in the order of their keys to pairs (x, y, dot)."""
 
     def joined(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        start, term, weight = _lists(rows.column("terms"), rows.column("weights"))
+        start, term, weight = _lists(rows, weigh)
         found, n = [], 0
         for piece in pairs(rows.column("key").to_numpy(), start, term, weight, least):
             found.append(piece)
@@ -178,9 +193,11 @@ def met(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _lists(terms: pa.ListArray, weights: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    offsets = terms.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy()
+def _lists(rows: pa.RecordBatch, weigh: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    terms, values = rows.columns[-2:]
+    start = terms.offsets.to_numpy().astype(np.int64)
+    start, term, value = start - start[0], terms.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy()
+    return start, term, weigh(start, term, value) if weigh else value
 
 
 def _before(start: np.ndarray, mass: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,25 +44,27 @@ def similar_pairs(df: DataFrame, features: Column, id_col: str = "row_id", thres
 
     Rows of equal features are one class first. Terms are ordered from rare to frequent; a pair can only reach the
     threshold if it shares a term among those of each text that come before the rest's norm falls below it, so texts meet
-    by these prefixes only. Each text goes with its whole vector to the keys of its prefix, and the texts of a key are
+    by these prefixes only. Each text goes with all its terms to the keys of its prefix, and the texts of a key are
     compared there in memory (``pairing.pairs``): no candidates are written, only pairs that reach the threshold.
     """
     bags = df.select(F.col(id_col).alias("id"), F.array_sort(features).alias("f")).where(F.size("f") > 0)
     reps = checkpointed(bags.groupBy("f").agg(F.min("id").alias("id")))
     terms = reps.select("id", F.inline(term_counts(F.col("f"))))
-    n = reps.agg(F.count("*")).scalar()
+    n = reps.count()
     df_of = with_index(terms.groupBy("term").agg(F.count("*").alias("df")), [F.col("df"), F.col("term")], "place")
-    weighed = terms.join(df_of, "term").select("id", F.col("place").cast("int").alias("place"), ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    vectors = weighed.where("id is not null").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("v"))
-    vectors = vectors.select("id", F.col("v.place").alias("terms"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"))
+    steps = df_of.groupBy("df").agg(F.min("place").alias("first")).orderBy("first").collect()
+    weigh = pairing.tfidf(np.array([r["first"] for r in steps], np.int64), np.array([r["df"] for r in steps], np.int64), n)
+    # a term as its place and a count, without its weight, which follows from them
+    placed = terms.join(df_of, "term").where("id is not null").select("id", F.struct(F.col("place").cast("int").alias("term"), F.col("tf").cast("int").alias("count")).alias("v"))
+    vectors = placed.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias("v")).select("id", F.col("v.term").alias("terms"), F.col("v.count").alias("counts"))
     # less the half of the last digit that the result is rounded to
     least = threshold - 1e-6
     kind = vectors.schema["id"].dataType
-    keyed = vectors.mapInArrow(pairing.prefixes(least), T.StructType([T.StructField("key", T.IntegerType()), *vectors.schema.fields]))
+    keyed = vectors.mapInArrow(pairing.prefixes(least, weigh), T.StructType([T.StructField("key", T.IntegerType()), *vectors.schema.fields]))
     # a number of its own: by size these few bytes would come together in fewer tasks than there are cores
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * df.sparkSession.sparkContext.defaultParallelism)
     groups = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    pairs = groups.mapInArrow(pairing.met(least), T.StructType([T.StructField("x", kind), T.StructField("y", kind), T.StructField("dot", T.DoubleType())]))
+    pairs = groups.mapInArrow(pairing.met(least, weigh), T.StructType([T.StructField("x", kind), T.StructField("y", kind), T.StructField("dot", T.DoubleType())]))
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("dot", 6).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
